@@ -1,0 +1,81 @@
+"""The registered queries on training data, and their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemill.llm import conversations, tokens
+from tidemill.sources.tables import table
+
+QUERIES = {}
+ORACLES = {}
+
+
+def query(name, sql=None):
+    def add(fn):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+#: each line once, with its instant, its role and whether it is usable
+LINES_SQL = r"""WITH raw AS (
+  SELECT coalesce(nullif(split_part(list_last(string_split(file_path, '/')), '.', 1), ''), session_id) AS session_id,
+         line_num, arg_min({'ts': trim(timestamp), 'r': role, 't': text}, ingested_at) AS m
+  FROM messages GROUP BY 1, 2),
+parts AS (
+  SELECT session_id, line_num, m.ts AS ts, lower(regexp_replace(m.r, '^\s+|\s+$', '', 'g')) AS role, m.t AS text,
+         regexp_extract(m.ts, '^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})(?:\.(\d{1,9}))?\s*(Z|z|[+-]\d{2}:?\d{2})?$',
+                        ['d', 't', 'f', 'z']) AS p FROM raw),
+lines AS (
+  SELECT session_id, line_num, role,
+    coalesce(role IN ('user', 'assistant') AND regexp_matches(text, '\S') AND NOT contains(text, 'HEARTBEAT_OK'), false) AS usable,
+    CASE WHEN regexp_matches(ts, '^\d{12,14}$') THEN ts::BIGINT * 1000
+      WHEN p.d <> '' THEN epoch_us(try_cast(p.d || 'T' || p.t || '.' || rpad(p.f, 6, '0')[1:6] ||
+        CASE WHEN p.z IN ('', 'Z', 'z') THEN '+00:00'
+             ELSE regexp_replace(p.z, '^([+-]\d{2}):?(\d{2})$', '\1:\2') END AS TIMESTAMPTZ)) END AS us
+  FROM parts WHERE session_id IS NOT NULL),
+ends AS (
+  SELECT session_id, count(*) FILTER (WHERE usable) AS n_usable, count(*) FILTER (WHERE usable AND us IS NULL) AS n_orphans,
+    arg_min(role, {'us': us, 'line_num': line_num}) FILTER (WHERE usable AND us IS NOT NULL) AS first_role,
+    arg_max(role, {'us': us, 'line_num': line_num}) FILTER (WHERE usable AND us IS NOT NULL) AS last_role
+  FROM lines GROUP BY session_id),
+faults AS (
+  SELECT *, CASE WHEN n_usable = 0 THEN 'empty' WHEN n_orphans > 0 THEN 'broken'
+    WHEN first_role <> 'user' THEN 'no_question' WHEN last_role <> 'assistant' THEN 'no_reply' END AS fault FROM ends)
+"""
+
+
+@query("p1_found", LINES_SQL + "SELECT session_id FROM faults WHERE fault IS NOT NULL")
+def p1_found(spark, sf_dir):
+    ends = conversations.conversation_ends(table(spark, sf_dir, "messages"))
+    return conversations.conversation_fault(ends).where("fault is not null").select("session_id")
+
+
+@query(
+    "p1_turns",
+    LINES_SQL + """
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY us, line_num) - 1 AS position, line_num, role, us
+FROM lines SEMI JOIN (SELECT session_id FROM faults WHERE fault IS NULL) USING (session_id) WHERE usable""",
+)
+def p1_turns(spark, sf_dir):
+    """The sound conversations, turn by turn."""
+    return conversations.conversation_turns(table(spark, sf_dir, "messages"))
+
+
+@query("p1_faults", LINES_SQL + "SELECT coalesce(fault, 'sound') AS fault, count(*) AS n FROM faults GROUP BY 1")
+def p1_faults(spark, sf_dir):
+    """How many conversations have which fault."""
+    ends = conversations.conversation_ends(table(spark, sf_dir, "messages"))
+    faults = conversations.conversation_fault(ends)
+    return faults.groupBy(F.coalesce("fault", F.lit("sound")).alias("fault")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p6_ids")
+def p6_ids(spark, sf_dir):
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
