@@ -37,8 +37,8 @@ def test_whole_small_table(spark, reference):
 def test_pieces(reference):
     ranks = load_ranks(VOCABULARY)
     assert encode_piece(b"", ranks) == []
-    for piece in regex.findall(PATTERN, "unbelievableness antidisestablishmentarianism " + "zq" * 70):
-        assert encode_piece(piece.encode(), ranks) == reference.encode_single_piece(piece)
+    for piece in regex.findall(PATTERN, "unbelievableness antidisestablishmentarianism" + " zq" * 7 + "zq" * 70):
+        assert encode_piece(piece.encode(), ranks) == reference.encode_ordinary(piece)
 
 
 def test_extra_columns_and_empty_table(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.llm import conversations, tokens
+from tidemill.llm import conversations, near_dup, tokens
 from tidemill.sources.tables import table
 
 QUERIES = {}
@@ -79,3 +79,40 @@ def p1_faults(spark, sf_dir):
 @query("p6_ids")
 def p6_ids(spark, sf_dir):
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+#: runs of three consecutive words of each chunk's text, once each
+RUNS_SQL = r"""WITH RECURSIVE words AS (
+  SELECT id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM chunks WHERE text IS NOT NULL),
+runs AS (
+  SELECT id, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS r
+  FROM words WHERE len(w) > 0),
+flat AS (SELECT id, len(r) AS n, unnest(r) AS run FROM runs),
+shared AS (
+  SELECT a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, count(*) AS c
+  FROM flat a JOIN flat b ON a.run = b.run AND a.id < b.id GROUP BY ALL),
+pairs AS (SELECT id_a, id_b FROM shared WHERE c >= 0.6 * (n_a + n_b - c))
+"""
+
+
+@query("p5_found", RUNS_SQL + "SELECT id_a, id_b FROM pairs")
+def p5_found(spark, sf_dir):
+    return near_dup.near_duplicate_pairs(table(spark, sf_dir, "chunks"), threshold=0.6, width=3)
+
+
+@query(
+    "p5_groups",
+    RUNS_SQL + """,
+links AS (SELECT id_a AS x, id_b AS y FROM pairs UNION SELECT id_b, id_a FROM pairs),
+reach(id, low) AS (
+  SELECT id, id FROM chunks UNION SELECT l.y, r.low FROM reach r JOIN links l ON l.x = r.id),
+texts AS (SELECT DISTINCT least(a.text, b.text) AS s, greatest(a.text, b.text) AS t FROM pairs p
+  JOIN chunks a ON a.id = p.id_a JOIN chunks b ON b.id = p.id_b WHERE a.text <> b.text),
+degree AS (SELECT text, count(*) AS n FROM (SELECT s AS text FROM texts UNION ALL SELECT t FROM texts) GROUP BY 1)
+SELECT c.id, (SELECT min(low) FROM reach r WHERE r.id = c.id) AS group_id, coalesce(d.n, 0) AS n_links
+FROM chunks c LEFT JOIN degree d USING (text)""",
+)
+def p5_groups(spark, sf_dir):
+    """The class of each chunk."""
+    return near_dup.near_duplicate_groups(table(spark, sf_dir, "chunks"), threshold=0.6, width=3)
