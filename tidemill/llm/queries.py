@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.llm import conversations, near_dup, tokens
+from tidemill.llm import contamination, conversations, near_dup, tokens
 from tidemill.sources.tables import table
 
 QUERIES = {}
@@ -116,3 +116,18 @@ FROM chunks c LEFT JOIN degree d USING (text)""",
 def p5_groups(spark, sf_dir):
     """The class of each chunk."""
     return near_dup.near_duplicate_groups(table(spark, sf_dir, "chunks"), threshold=0.6, width=3)
+
+
+@query("p7_found")
+def p7_found(spark, sf_dir):
+    found = contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id")
+
+
+@query("p7_items")
+def p7_items(spark, sf_dir):
+    """The leaked items: in how many documents, and the longest leak's number of windows."""
+    found = contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.max("n_windows").alias("most_windows")
+    )
