@@ -42,7 +42,7 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
 _ENTITY = re.compile(r"&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,5});")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
-_BREAK = re.compile(r"\\[nrt](?![a-z])")
+_BREAK = re.compile(r"\\[nrt]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 _WORD = re.compile("[^\\W_]+(?:[\u0300-\u036f][^\\W_]*)*")
 
