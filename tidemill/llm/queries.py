@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.llm import contamination, conversations, near_dup, tokens
+from tidemill.llm import contamination, conversations, near_dup, sentences, tokens
 from tidemill.sources.tables import table
 
 QUERIES = {}
@@ -131,3 +131,20 @@ def p7_items(spark, sf_dir):
     return found.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("n_documents"), F.max("n_windows").alias("most_windows")
     )
+
+
+@query("p8_found")
+def p8_found(spark, sf_dir):
+    return sentences.sentence_units(table(spark, sf_dir, "documents"))
+
+
+@query("p8_lengths")
+def p8_lengths(spark, sf_dir):
+    """Per source: documents with a unit, units, and their mean length."""
+    docs = table(spark, sf_dir, "documents")
+    units = sentences.sentence_units(docs).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("chars")
+    )
+    return docs.select("doc_id", "source").join(units, "doc_id").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_units"), F.round(F.sum("chars") / F.sum("n"), 6).alias("mean_chars")
+    )
