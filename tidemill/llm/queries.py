@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.llm import contamination, conversations, near_dup, sentences, tokens
+from tidemill.llm import contamination, conversations, near_dup, sentences, tokens, truncation
 from tidemill.sources.tables import table
 
 QUERIES = {}
@@ -148,3 +148,28 @@ def p8_lengths(spark, sf_dir):
     return docs.select("doc_id", "source").join(units, "doc_id").groupBy("source").agg(
         F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_units"), F.round(F.sum("chars") / F.sum("n"), 6).alias("mean_chars")
     )
+
+
+@query("p2_found")
+def p2_found(spark, sf_dir):
+    return truncation.truncated(table(spark, sf_dir, "chunks")).where("is_cut").select("id")
+
+
+@query("p2_report")
+def p2_report(spark, sf_dir):
+    """The share of truncated chunks of each metadata.source and file family."""
+    return truncation.truncation_report(table(spark, sf_dir, "chunks"))
+
+
+@query(
+    "p2_hazards",
+    """WITH n AS (SELECT metadata.source AS source, split_part(file_path, '/', 1) AS family, length(text) AS len, count(*) AS n
+  FROM chunks WHERE regexp_matches(text, '\\S') GROUP BY ALL)
+SELECT source, family, len, n, at_risk, n / at_risk AS hazard FROM (
+  SELECT *, sum(n) OVER (PARTITION BY source, family ORDER BY len DESC)::BIGINT AS at_risk FROM n)""",
+)
+def p2_hazards(spark, sf_dir):
+    """The discrete hazard of every length of every source."""
+    chunks = table(spark, sf_dir, "chunks").where(F.col("text").rlike(r"(?U)\S"))
+    lengths = chunks.select("metadata.source", truncation.family(F.col("file_path")).alias("family"), F.length("text").alias("len"))
+    return truncation.length_hazards(lengths).select("source", "family", "len", "n", "at_risk", "hazard")
