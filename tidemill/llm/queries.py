@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.llm import contamination, conversations, near_dup, sentences, tokens, truncation
+from tidemill.llm import contamination, conversations, near_dup, pii, sentences, tokens, truncation
 from tidemill.sources.tables import table
 
 QUERIES = {}
@@ -173,3 +173,15 @@ def p2_hazards(spark, sf_dir):
     chunks = table(spark, sf_dir, "chunks").where(F.col("text").rlike(r"(?U)\S"))
     lengths = chunks.select("metadata.source", truncation.family(F.col("file_path")).alias("family"), F.length("text").alias("len"))
     return truncation.length_hazards(lengths).select("source", "family", "len", "n", "at_risk", "hazard")
+
+
+@query("p3_found")
+def p3_found(spark, sf_dir):
+    return pii.pii_of_tables(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "entities"))
+
+
+@query("p3_redacted")
+def p3_redacted(spark, sf_dir):
+    """Each chunk's text with typed placeholders."""
+    chunks = table(spark, sf_dir, "chunks")
+    return pii.redact(chunks, pii.fit(chunks, table(spark, sf_dir, "entities")), "id", "text")
