@@ -33,6 +33,8 @@ NEIGHBOURS = 25
 ALPHA = 0.01
 #: least share of complete endings: usual, at a significant length, and where the stored hash is another text's
 COMPLETE, COMPLETE_AT_LIMIT, COMPLETE_OTHER_HASH = 0.002, 0.1, 0.5
+#: outer blanks of a text
+_BLANKS = " \t\n\r\x0b\x0c\x85\u00a0\u2028\u2029\u202f\u3000"
 _UNCLEAR = ("item", "reply")
 #: phrases a task counts before it hands them on
 PHRASES_KEPT = 400_000
@@ -138,56 +140,93 @@ def _word(token: str) -> str:
     return re.sub(r"9+(?=[.:])", "9", t)
 
 
-def _count_lines(text: str, counts: Counter, replies: Counter) -> None:
-    lines = text.split("\n")
-    last = len(lines) - 1
-    fenced = False
-    for at, line in enumerate(lines):
-        if line.lstrip().startswith("```"):
-            fenced = not fenced
-            continue
-        if fenced:
-            continue
-        tokens = line.split()
-        if not tokens:
-            continue
-        before, end = "", len(tokens) - 1
-        for k, token in enumerate(tokens):
-            if at == last and k == end:
-                break
-            word = _word(token)
-            stop = k == end or (token[-1] in _EDGE and _STOPPED.search(token) is not None and (len(word) > 2 or word == "9"))
-            counts[(word, stop)] += 1
-            if before:
-                counts[(before + " " + word, stop)] += 1
-            before = word
-        if at != last and line.startswith("**") and (m := re.match(_LABEL, line)):
-            replies["reply:" + line[m.end() :].strip()[:40]] += 1
+class _Counts:
+    """Counts of words and pairs of words by whether a line or sentence ends with them, over many texts.
+
+    Tokens are classed once each; what is counted are numbers of classes, a batch at a time.
+    """
+
+    def __init__(self) -> None:
+        self.tokens: dict[str, tuple[int, int]] = {}
+        self.numbers: dict[str, int] = {}
+        self.words: list[str] = []
+        self.replies: Counter = Counter()
+        self.counts: Counter = Counter()
+        self.flow: list[int] = []
+
+    def classed(self, token: str) -> tuple[int, int]:
+        word = _word(token)
+        number = self.numbers.setdefault(word, len(self.words))
+        if number == len(self.words):
+            self.words.append(word)
+        stop = token[-1] in _EDGE and (len(word) > 2 or word == "9") and _STOPPED.search(token) is not None
+        got = self.tokens[token] = (2 * number, 2 * number + 1) if not stop else (2 * number + 1, 2 * number + 1)
+        return got
+
+    def add(self, text: str) -> None:
+        tokens, flow = self.tokens, self.flow
+        lines = text.split("\n")
+        last = len(lines) - 1
+        fenced = False
+        for at, line in enumerate(lines):
+            if "```" in line and line.lstrip().startswith("```"):
+                fenced = not fenced
+                continue
+            words = line.split() if not fenced else None
+            if not words:
+                continue
+            if at == last:
+                words.pop()
+                for w in words:
+                    flow.append((tokens.get(w) or self.classed(w))[0])
+            else:
+                for w in words:
+                    flow.append((tokens.get(w) or self.classed(w))[0])
+                flow[-1] |= 1
+                if line.startswith("**") and (m := re.match(_LABEL, line)):
+                    self.replies["reply:" + line[m.end() :].strip()[:40]] += 1
+            flow.append(-1)
+
+    def fold(self) -> None:
+        """Counts what has flowed in so far: words, and pairs that a line's end does not part."""
+        flow = np.array(self.flow, np.int64)
+        self.flow.clear()
+        one, n = np.unique(flow[flow >= 0], return_counts=True)
+        for k, c in zip(one.tolist(), n.tolist()):
+            self.counts[k] += c
+        if len(flow) > 1:
+            before, after = flow[:-1], flow[1:]
+            both = (before >= 0) & (after >= 0)
+            two, n = np.unique(((before[both] >> 1) + 1 << 32) | after[both], return_counts=True)
+            for k, c in zip(two.tolist(), n.tolist()):
+                self.counts[k] += c
+
+    def drain(self) -> pa.RecordBatch:
+        self.fold()
+        w, mask = self.words, (1 << 32) - 1
+        phrases = [(w[(k >> 32) - 1] + " " if k >> 32 else "") + w[(k & mask) >> 1] for k in self.counts]
+        stops = [bool(k & 1) for k in self.counts]
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(phrases + list(self.replies), pa.string()), pa.array(stops + [True] * len(self.replies), pa.bool_()),
+             pa.array(list(self.counts.values()) + list(self.replies.values()), pa.int64())],
+            names=["phrase", "stop", "n"],
+        )
+        self.__init__()
+        return batch
 
 
 def phrase_ends(texts: DataFrame) -> DataFrame:
     """(phrase, ends, goes_on): how often words and pairs of words end a line or sentence, over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, replies = Counter(), Counter()
-
-        def flush() -> pa.RecordBatch:
-            words = list(counts) + [(r, True) for r in replies]
-            n = list(counts.values()) + list(replies.values())
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in words], pa.string()), pa.array([s for _, s in words], pa.bool_()), pa.array(n, pa.int64())],
-                names=["phrase", "stop", "n"],
-            )
-            counts.clear()
-            replies.clear()
-            return batch
-
+        counts = _Counts()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                _count_lines(t, counts, replies)
-            if len(counts) > PHRASES_KEPT:
-                yield flush()
-        yield flush()
+                counts.add(t)
+            counts.fold()
+            if len(counts.counts) > PHRASES_KEPT or len(counts.tokens) > PHRASES_KEPT:
+                yield counts.drain()
+        yield counts.drain()
 
     return (
         texts.mapInArrow(run, "phrase string, stop boolean, n bigint")
@@ -211,33 +250,34 @@ def endings(chunks: DataFrame, id_col: str = "id", text: str = "text") -> DataFr
     ``running`` (no closing mark in running text), ``stop`` (a closing mark), ``item`` (a list item
     without one), ``reply`` (a labelled line without one), ``block`` (a closed fenced block).
     """
-    t = F.rtrim(F.regexp_replace(F.col(text), r"(?U)\s+$", ""))
-    body = F.regexp_replace(t, r"^Date: [^\n]*\n", "")
+    t = F.rtrim(F.col(text), F.lit(_BLANKS))
     line = F.substring_index(t, "\n", -1)
-    fences = F.size(F.split(F.concat(F.lit("\n"), t), r"\n[ \t]*```", -1)) - 1
-    reply = F.regexp_replace(line, _LABEL, "")
+    tail = F.when(F.length(line) > 400, F.substring(line, -400, 400)).otherwise(line)
+    fences = F.when(t.contains("```"), F.size(F.split(F.concat(F.lit("\n"), t), r"\n[ \t]*```", -1)) - 1).otherwise(0)
+    reply = F.regexp_replace(tail, _LABEL, "")
     kind = (
-        F.when(t.rlike(_MARK) | t.endswith("�"), "mark")
+        F.when(tail.rlike(_MARK) | tail.endswith("�"), "mark")
         .when(fences % 2 == 1, "fence")
-        .when(line.rlike(r"^\s*```"), "block")
-        .when(line.rlike(_OPEN_STOP) & ~line.rlike(_STREET), "running")
-        .when(line.rlike(_OPEN_LINK), "running")
-        .when(t.rlike(_CLOSED), "stop")
+        .when(tail.rlike(r"^\s*```"), "block")
+        .when(tail.rlike(_OPEN_STOP) & ~tail.rlike(_STREET), "running")
+        .when(tail.rlike(_OPEN_LINK), "running")
+        .when(tail.rlike(_CLOSED), "stop")
         .when(line.rlike(_ITEM), "item")
         .when(line.rlike(_LABEL) & (F.length(reply) <= 40), "reply")
         .otherwise("running")
     )
     meta = F.col("metadata")
-    stored = F.array(F.col(text), t, body).alias("s")
-    same = F.exists(stored, lambda x: F.substring(F.md5(F.encode(x, "utf-8")), 1, 12) == meta["hash"])
+    # only where the hash is asked: of the text as it is, without trailing blanks, and without its date line
+    hashed = F.array(F.col(text), t, F.regexp_replace(t, r"^Date: [^\n]*\n", ""))
+    same = F.exists(hashed, lambda x: F.substring(F.md5(F.encode(x, "utf-8")), 1, 12) == meta["hash"])
     return chunks.where(F.col(text).rlike(r"(?U)\S")).select(
         F.col(id_col).alias("id"),
         meta["source"].alias("source"),
         family(F.col("file_path")).alias("family"),
         F.length(text).alias("len"),
         kind.alias("kind"),
-        F.when(meta["hash"].isNotNull(), ~same).otherwise(F.lit(False)).alias("other_hash"),
-        F.when(F.length(line) > 400, F.substring(line, -400, 400)).otherwise(line).alias("line"),
+        F.when(kind.isin(*_UNCLEAR) & meta["hash"].isNotNull(), ~same).otherwise(F.lit(False)).alias("other_hash"),
+        tail.alias("line"),
         F.concat(F.lit("reply:"), F.trim(reply)).alias("reply"),
     )
 
