@@ -113,7 +113,8 @@ def chunk_files(files: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     limit = F.when(is_transcript, F.lit(MAX_CHARS_TRANSCRIPT)).otherwise(F.lit(max_chars))
     sections = (
         files.where(F.trim(F.regexp_replace("text", r"\s", "")) != "")
-        .select("file_path", limit.alias("limit"), path_stem(F.col("file_path")).alias("stem"), F.posexplode(heading_sections(F.col("text"))).alias("section", "s"))
+        .select("file_path", limit.alias("limit"), path_stem(F.col("file_path")).alias("stem"), heading_sections(F.col("text")).alias("ss"))
+        .select("file_path", "limit", "stem", F.posexplode("ss").alias("section", "s"))
         .select("file_path", "limit", "stem", "section", "s.*")
         .withColumn("whole", F.trim(F.regexp_replace(F.array_join("body", "\n"), r"^\s+|\s+$", "")))
         .where("whole <> ''")

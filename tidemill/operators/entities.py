@@ -95,6 +95,7 @@ FACTS = (
     (rf"(?i)({_FULL}).*?(?:from|based in|lives in|located in)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)", "hometown"),
 )
 #: what the rules above need in a text, in their order
+IP_HINT = r"(?:IP|ip|address)[:\s]*\d"
 FICTION_HINTS = (
     r"(?i)character|protagonist|antagonist|villain|hero", r"(?i)\s(?:police|intelligence|criminal|operative|agent|assassin|hacker|officer)",
     r"(?i)known as|such as|called", r"(?i)(?:known as|called)\s",
@@ -168,9 +169,10 @@ def rules(text: Column, skip_urls: tuple[str, ...] = ()) -> dict[str, Column]:
     names = lambda p: F.filter(F.transform(_all(text, p), F.trim), lambda n: (F.length(n) > 3) & (F.length(n) < 50))
     label = lambda ctx: F.coalesce(F.nullif(F.trim(F.right(F.trim(ctx), F.lit(30))), F.lit("")), F.lit("amount"))
     found = {
-        "ip_labelled": _pairs(text, IP_LABELLED, lambda a, b: (F.lit("ip"), ip_name(a), b)),
-        "ip_bare": _rows("ip", "ip_address", F.filter(
-            F.array_except(_all(text, IP_BARE), _all(text, IP_LABELLED, 2)), lambda ip: F.forall(F.split(ip, r"\."), lambda o: o.cast("int") <= 255))),
+        "ip_labelled": _where(text, IP_HINT, _pairs(text, IP_LABELLED, lambda a, b: (F.lit("ip"), ip_name(a), b))),
+        "ip_bare": _rows("ip", "ip_address", F.filter(F.array_except(
+            _all(text, IP_BARE), F.when(text.rlike(IP_HINT), _all(text, IP_LABELLED, 2)).otherwise(F.array().cast("array<string>"))),
+            lambda ip: F.forall(F.split(ip, r"\."), lambda o: o.cast("int") <= 255))),
         "email": _rows("email", "email", _all(text, EMAIL)),
         "phone": _rows("phone", "phone", F.filter(_all(text, PHONE), lambda p: F.length(F.regexp_replace(p, r"\D", "")) == 10)),
         "url": _rows("url", "url", urls),
@@ -219,7 +221,9 @@ def extract(
     """
     made = rules(F.col(text), skip_urls)
     arrays = [a for n, a in made.items() if only is None or n in only]
-    rows = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.concat(*arrays)).alias("pos", "e")).select("id", "pos", "e.*")
+    # the array is a column of its own before it is exploded: a generator's code would not be split into methods
+    found = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.concat(*arrays).alias("es"))
+    rows = found.select("id", F.posexplode("es").alias("pos", "e")).select("id", "pos", "e.*")
     keys = ("entity_type", F.lower("entity_name").alias("kn"), F.substring(F.lower("entity_value"), 1, 50).alias("kv"))
     first = rows.groupBy("id", *keys).agg(F.min(F.struct("pos", "entity_name", "entity_value")).alias("m"))
     return first.select("id", "entity_type", "m.entity_name", "m.entity_value")
