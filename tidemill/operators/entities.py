@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 # nothing else could match, and long texts stay linear.
 _NAME = r"(?<![A-Za-z])[A-Z][a-z]++(?:\s+[A-Z][a-z]++)*"
 _FULL = r"(?<![A-Za-z])[A-Z][a-z]++\s+[A-Z][a-z]++"
-IP_LABELLED = r"([^\n]*?)(?:IP|ip|address)[:\s]*(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
+# (``\G`` and a lazy group before a rule's own pattern hold what stands before it, since the last match)
+IP_LABELLED = r"\G(?s)(.*?(?:IP|ip|address))[:\s]*(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
 IP_BARE = r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"
 EMAIL = r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,})\b"
 PHONE = r"\b(\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})\b"
@@ -31,7 +32,7 @@ ADDRESS = (
     r"|Place|Pl|Circle|Cir)\s*(?:North|South|East|West|N|S|E|W|NW|NE|SW|SE)?)(?:[,\s]|$)"
 )
 DATE = r"\b(\d{4}-\d{2}-\d{2})\b"
-MONEY = r"(?i)([^\n$]{0,40})(\$[\d,]+(?:\.\d{2})?(?:/(?:mo|month|year|yr|week|day))?)"
+MONEY = r"(?i)\G(?s)(.*?)(\$[\d,]+(?:\.\d{2})?(?:/(?:mo|month|year|yr|week|day))?)"
 KEY_VALUE = r"(?m)[-•]\s*\*{0,2}([^*:]+?)\*{0,2}\s*:\s*\*{0,2}(.+?)(?:\*{0,2})$"
 KEY_TYPES = (
     ("credential", ("password", "token", "key", "secret", "credential")),
@@ -52,9 +53,9 @@ KINSHIP = (
     rf"(?i)(#+\s*(?:Brother|Sister|Daughter|Son|Wife|Husband|Father|Mother)[:\s]+({_NAME}))",
 )
 AGES = (
-    r"(?s)(.{0,60}?)(?i:at|age|aged?)\s+(\d{1,3})\s+(?i:years?\s+old|yo)",
-    r"(?s)(.{0,60}?)(\d{1,3})\s+(?i:years?\s+old)",
-    r"(?s)(.{0,60}?)(?i:At|age|aged?)\s+(\d{1,3})[,\s]",
+    r"\G(?s)(.*?)(?i:at|age|aged?)\s+(\d{1,3})\s+(?i:years?\s+old|yo)",
+    r"\G(?s)(.*?)(\d{1,3})\s+(?i:years?\s+old)",
+    r"\G(?s)(.*?)(?i:At|age|aged?)\s+(\d{1,3})[,\s]",
 )
 ROLE = rf"(?i)({_NAME})\s+(?:is|was|works as|serves as)\s+(?:a|an|the)\s+([a-z][a-z\s]+?)(?:\.|,|$)"
 STATES = (
@@ -82,7 +83,7 @@ PERSON = (
     rf"(?i)({_FULL})\s+(?:mentioned|said|brought|shared|announced|reported|confirmed|noted)",
 )
 EMPLOYEE_NEAR = rf"({_FULL})\s*\(?(NX-\d+)\)?"
-EMPLOYEE = r"(?s)(.{0,80}?)(NX-\d{3,5})"
+EMPLOYEE = r"\G(?s)(.*?)(NX-\d{3,5})"
 FACTS = (
     (rf"(?i)({_FULL})\s+is\s+allergic\s+to\s+(\w+(?:\s+\w+)?)", "allergy"),
     (rf"(?i)({_FULL})\s+has\s+(?:a|an)\s+(\w+)\s+allergy", "allergy"),
@@ -160,14 +161,18 @@ def _key_type(key: Column) -> Column:
 def rules(text: Column, skip_urls: tuple[str, ...] = ()) -> dict[str, Column]:
     """The rules in order: name -> array of (entity_type, entity_name, entity_value)."""
     person = F.lit("person")
-    ip_name = lambda before: F.coalesce(F.nullif(F.regexp_replace(F.substring_index(before, ":", 1), r"^[ \-•*]+|[ \-•*]+$", ""), F.lit("")), F.lit("ip"))
+    ip_name = lambda before: F.coalesce(F.nullif(F.regexp_replace(F.substring_index(F.substring_index(before, "\n", -1), ":", 1), r"^[ \-•*]+|[ \-•*]+$", ""), F.lit("")), F.lit("ip"))
     urls = F.transform(_all(text, URL), lambda u: F.regexp_replace(u, r"[.,;)]+$", ""))
     for host in skip_urls:
         urls = F.filter(urls, _without(host))
-    owner = lambda ctx, pattern, end, other: F.when(ctx.rlike(pattern), F.concat(F.regexp_extract(ctx, f"({pattern})", 1), F.lit(end))).otherwise(other)
+
+    def owner(before, pattern, width, end, other):
+        near = F.right(before, F.lit(width))
+        return F.when(near.rlike(pattern), F.concat(F.regexp_extract(near, f"({pattern})", 1), F.lit(end))).otherwise(other)
+
     kin = lambda m: F.coalesce(*[F.when(F.lower(m).contains(k), F.lit(k)) for k in KIN], F.lit("family"))
     names = lambda p: F.filter(F.transform(_all(text, p), F.trim), lambda n: (F.length(n) > 3) & (F.length(n) < 50))
-    label = lambda ctx: F.coalesce(F.nullif(F.trim(F.right(F.trim(ctx), F.lit(30))), F.lit("")), F.lit("amount"))
+    label = lambda ctx: F.coalesce(F.nullif(F.trim(F.right(F.trim(F.right(F.substring_index(ctx, "\n", -1), F.lit(40))), F.lit(30))), F.lit("")), F.lit("amount"))
     found = {
         "ip_labelled": _where(text, IP_HINT, _pairs(text, IP_LABELLED, lambda a, b: (F.lit("ip"), ip_name(a), b))),
         "ip_bare": _rows("ip", "ip_address", F.filter(F.array_except(
@@ -182,14 +187,14 @@ def rules(text: Column, skip_urls: tuple[str, ...] = ()) -> dict[str, Column]:
         "ssn": _rows("pii", "SSN", _all(text, SSN)),
         "address": _rows("location", "address", _all(text, ADDRESS)),
         "date": _rows("date", "date", _all(text, DATE)),
-        "money": _pairs(text, MONEY, lambda a, b: (F.lit("financial"), label(a), b)),
+        "money": _where(text, r"\$\d", _pairs(text, MONEY, lambda a, b: (F.lit("financial"), label(a), b))),
         "key_value": _pairs(text, KEY_VALUE, lambda a, b: (_key_type(F.trim(a)), F.trim(a), b),
                             lambda a, b: (F.length(F.trim(a)) < 50) & (F.length(F.trim(b)) < 200)),
     }
     for i, p in enumerate(KINSHIP):
         found[f"kinship_{i}"] = _where(text, rf"(?i)(?:\b(?:is|was)\s|{_KIN}[:\s])", _pairs(text, p, lambda a, b: (person, kin(a), b)))
     for i, p in enumerate(AGES):
-        made = _pairs(text, p, lambda a, b: (F.when(a.rlike(_NAME), "person").otherwise("fact"), owner(a, _NAME, "_age", F.lit("age")), b))
+        made = _pairs(text, p, lambda a, b: (F.when(F.right(a, F.lit(60)).rlike(_NAME), "person").otherwise("fact"), owner(a, _NAME, 60, "_age", F.lit("age")), b))
         found[f"age_{i}"] = _where(text, r"(?i)(?:at|age|aged?)\s+\d{1,3}|\d\s+years?\s+old", made)
     roles = _pairs(text, ROLE, lambda a, b: (person, F.concat(F.trim(a), F.lit("_role")), b),
                    lambda a, b: (F.length(F.trim(a)) < 40) & (F.length(F.trim(b)) < 60))
@@ -202,7 +207,7 @@ def rules(text: Column, skip_urls: tuple[str, ...] = ()) -> dict[str, Column]:
     for i, p in enumerate(PERSON):
         found[f"person_{i}"] = _where(text, PERSON_HINTS[i], _rows("person", "person_name", names(p)))
     found["employee_near"] = _where(text, "NX-", _pairs(text, EMPLOYEE_NEAR, lambda a, b: (person, F.concat(F.trim(a), F.lit("_employee_id")), b)))
-    found["employee"] = _where(text, "NX-", _pairs(text, EMPLOYEE, lambda a, b: (person, owner(a, _FULL, "_employee_id", F.lit("employee_id")), b)))
+    found["employee"] = _where(text, "NX-", _pairs(text, EMPLOYEE, lambda a, b: (person, owner(a, _FULL, 80, "_employee_id", F.lit("employee_id")), b)))
     for i, (p, kind) in enumerate(FACTS):
         found[f"fact_{i}"] = _where(text, FACT_HINTS[i], _pairs(
             text, p, lambda a, b, kind=kind: (person, F.concat(F.trim(a), F.lit("_" + kind)), b),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.plans import search_queries, session_queries, text_queries  # noqa: F401
+from tidemill.plans import search_queries, session_queries, store_queries, text_queries  # noqa: F401
 from tidemill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
