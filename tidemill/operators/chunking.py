@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import content_hash, lines, path_date, path_stem
+from tidemill.sources.tables import spread
 
 MAX_CHARS, MAX_CHARS_TRANSCRIPT, OVERLAP_SENTENCES = 800, 2000, 2
 HEADING = r"^#{1,6}\s+.+"
@@ -112,7 +113,7 @@ def chunk_files(files: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     is_transcript = F.lower("file_path").contains("transcript")
     limit = F.when(is_transcript, F.lit(MAX_CHARS_TRANSCRIPT)).otherwise(F.lit(max_chars))
     sections = (
-        files.where(F.trim(F.regexp_replace("text", r"\s", "")) != "")
+        spread(files.select("file_path", "text")).where(F.trim(F.regexp_replace("text", r"\s", "")) != "")
         .select("file_path", limit.alias("limit"), path_stem(F.col("file_path")).alias("stem"), heading_sections(F.col("text")).alias("ss"))
         .select("file_path", "limit", "stem", F.posexplode("ss").alias("section", "s"))
         .select("file_path", "limit", "stem", "section", "s.*")

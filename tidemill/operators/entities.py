@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.sources.tables import spread
+
 # The rules' patterns and word lists.
 # Words are taken whole (``++``) and only from their start: what follows a name is a blank or a sign, so
 # nothing else could match, and long texts stay linear.
@@ -227,7 +229,8 @@ def extract(
     made = rules(F.col(text), skip_urls)
     arrays = [a for n, a in made.items() if only is None or n in only]
     # the array is a column of its own before it is exploded: a generator's code would not be split into methods
-    found = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.concat(*arrays).alias("es"))
+    rows = spread(df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias(text)))
+    found = rows.select("id", F.concat(*arrays).alias("es"))
     rows = found.select("id", F.posexplode("es").alias("pos", "e")).select("id", "pos", "e.*")
     keys = ("entity_type", F.lower("entity_name").alias("kn"), F.substring(F.lower("entity_value"), 1, 50).alias("kv"))
     first = rows.groupBy("id", *keys).agg(F.min(F.struct("pos", "entity_name", "entity_value")).alias("m"))

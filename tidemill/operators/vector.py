@@ -42,12 +42,15 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def exact_neighbours(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector: str = "vector") -> DataFrame:
+def exact_neighbours(
+    rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector: str = "vector", group: str | None = None
+) -> DataFrame:
     """(query_id, id, score, rank): the k most similar rows of each query by cosine, at least 0.
 
-    Queries are packed into blocks; each partition of rows meets one block after the other, keeps the
-    k best of each query, and only those are shuffled. A query finds itself if it is among the rows.
-    Rows and queries with a null id or vector are left out.
+    With ``group`` the k best of each of its values, and that column besides. Queries are packed into
+    blocks; each partition of rows meets one block after the other, keeps the k best of each query,
+    and only those are shuffled. A query finds itself if it is among the rows. Rows and queries with a
+    null id or vector are left out.
     """
     q = queries.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(
         F.col(id_col).alias("query_id"), F.col(vector).alias("v")
@@ -57,42 +60,42 @@ def exact_neighbours(rows: DataFrame, queries: DataFrame, k: int, id_col: str =
         q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
         .groupBy("block").agg(F.collect_list(F.struct("query_id", "v")).alias("qs"))
     )
-    parts = rows.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    parts = rows.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(vector).alias("v"), (F.col(group) if group else F.lit("")).cast("string").alias("g")
+    )
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"ids": [pdf["id"].to_numpy()], "vs": [np.concatenate(pdf["v"].to_list())]})
+            for g, part in pdf.groupby("g", dropna=False):
+                yield pd.DataFrame({"g": [g], "ids": [part["id"].to_numpy()], "vs": [np.concatenate(part["v"].to_list())]})
 
-    packed = parts.mapInPandas(pack, "ids array<bigint>, vs array<double>")
+    packed = parts.mapInPandas(pack, "g string, ids array<bigint>, vs array<double>")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, vs, qs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for g, ids, vs, qs in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 ids = np.array(ids)
                 m = _unit(np.array(vs).reshape(len(ids), -1))
                 sims = np.maximum(_unit([x["v"] for x in qs]) @ m.T, 0.0)
                 out = [(x["query_id"], ids[j], s[j]) for x, s in zip(qs, sims) for j in _best(ids, s, k)]
                 a, b, c = zip(*out) if out else ([], [], [])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "id", "score"]
+                    [pa.array([g] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())],
+                    names=["g", "query_id", "id", "score"],
                 )
 
     # a stated query set against all rows, block by block
-    near = packed.crossJoin(F.broadcast(blocks) if n_blocks <= 8 else blocks).select("ids", "vs", "qs").mapInArrow(
-        match, "query_id bigint, id bigint, score double"
+    near = packed.crossJoin(F.broadcast(blocks) if n_blocks <= 8 else blocks).select("g", "ids", "vs", "qs").mapInArrow(
+        match, "g string, query_id bigint, id bigint, score double"
     )
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    best = Window.partitionBy("query_id", "g").orderBy(F.col("score").desc(), "id")
+    ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.withColumnRenamed("g", group) if group else ranked.drop("g")
 
 
 def two_tier(rows: DataFrame, queries: DataFrame, k: int, tier: str = "tier", **names: str) -> DataFrame:
-    """The k best of either tier for each query, the primary tier first: (query_id, id, score, rank, tier)."""
-    parts = [
-        exact_neighbours(rows.where(F.col(tier) == t), queries, k, **names).withColumn("tier", F.lit(t))
-        for t in ("primary", "secondary")
-    ]
-    return parts[0].unionByName(parts[1])
+    """The k best of either tier for each query, in one pass over the rows: (query_id, id, score, rank, tier)."""
+    return exact_neighbours(rows, queries, k, group=tier, **names)
 
 
 class InvertedFile:

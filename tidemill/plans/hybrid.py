@@ -16,6 +16,7 @@ from tidemill.operators.models import overlap_logit, rerank
 from tidemill.operators.store import first_by_hash, neighbours
 from tidemill.operators.understand import date_patterns, has_words, intents, temporal_mode, type_hint
 from tidemill.operators.vector import two_tier
+from tidemill.sources.tables import cut_lineage
 
 CANDIDATES, TEMPORAL_FACTOR, ENTITY_LIMIT, INJECTED = 5, 3, 5, 0.5
 ADJACENT_TOP, ADJACENT_FLOOR, ADJACENT_SHARE = 3, 0.3, 0.5
@@ -77,7 +78,7 @@ def search(
     keyword_side = keep(top_k(keyword_scores(corpus, asked), limit, "id"))
     rows = corpus.withColumn("tier", tier(F.col("source")))
     vectors = two_tier(rows, asked.select(F.col("query_id").alias("id"), "vector"), limit)
-    hits = entity_hits(entities, asked)
+    hits = cut_lineage(entity_hits(entities, asked))
     named = hits.withColumnRenamed("chunk_id", "id").withColumn("chunk_hit", F.lit(True))
     # chunks of found entities that neither side brought come in at a fixed score
     base = keep(vectors).select("query_id", "id", "score")
@@ -91,7 +92,8 @@ def search(
         .join(paths.withColumn("file_hit", F.lit(True)), ["query_id", "file_path"], "left")
     )
     prefer = F.lit(prefer_type).cast("string")
-    scored = rich.withColumn("score", combined_score(as_of, prefer))
+    # few rows a query, read by the adjacency rule three times: computed once
+    scored = cut_lineage(rich.withColumn("score", combined_score(as_of, prefer)))
     scored = scored.unionByName(_adjacent(scored, corpus), allowMissingColumns=True)
     mode = F.col("mode")
     again = F.when(mode == "recency", scoring.recency_boost(path_date(F.col("file_path")), F.col("indexed_at"), as_of)).when(

@@ -8,7 +8,7 @@ from tidemill.operators import models, scoring, store, vector
 from tidemill.operators.bm25 import corpus_stats, doc_terms, keyword_scores, postings, top_k
 from tidemill.plans import hybrid
 from tidemill.plans.registry import query
-from tidemill.sources.tables import table
+from tidemill.sources.tables import cut_lineage, spread, table
 
 AS_OF = "2026-11-01 00:00:00"
 
@@ -268,7 +268,9 @@ def _corpus(spark, sf_dir):
         "id", "file_path", "line_start", "line_end", "text", "indexed_at", F.col("metadata.type").alias("kind"),
         F.col("metadata.source").alias("source"), F.col("metadata.hash").alias("hash"),
     )
-    return models.embed(c.where("text is not null"), "text").withColumn("vector", F.col("vector").cast("array<double>"))
+    embedded = models.embed(spread(c.where("text is not null")), "text").withColumn("vector", F.col("vector").cast("array<double>"))
+    # the index: embedded once, read by every part of the search
+    return cut_lineage(embedded)
 
 
 def _questions(spark, sf_dir):

@@ -8,7 +8,7 @@ from tidemill.functions.text import content_hash, path_date, tier
 from tidemill.operators import chunking, entities, transcripts, understand
 from tidemill.operators.store import line_range
 from tidemill.plans.registry import query
-from tidemill.sources.tables import table
+from tidemill.sources.tables import spread, table
 
 
 @query(
@@ -83,7 +83,8 @@ SELECT id, CASE WHEN cfg >= 2 THEN 'config' WHEN todo >= 1 THEN 'todo' WHEN fact
   ELSE 'narrative' END AS kind FROM h""",
 )
 def type_detect(spark, sf_dir):
-    return table(spark, sf_dir, "chunks").where("text is not null").select("id", chunking.chunk_type(F.col("text")).alias("kind"))
+    rows = spread(table(spark, sf_dir, "chunks").where("text is not null").select("id", "text"))
+    return rows.select("id", chunking.chunk_type(F.col("text")).alias("kind"))
 
 
 @query("content_hash", "SELECT id, left(md5(text), 12) AS hash, left(md5(text), 12) = metadata.hash AS is_stored FROM chunks WHERE text IS NOT NULL")

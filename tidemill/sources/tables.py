@@ -32,3 +32,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files are too few to keep them busy with work on single rows.
+
+    Tables of many files stay where they are read: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
