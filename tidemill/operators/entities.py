@@ -153,10 +153,7 @@ def _pairs(text: Column, pattern: str, make: Callable[[Column, Column], tuple],
 def _key_type(key: Column) -> Column:
     low, kind = F.lower(key), F.lit("fact")
     for name, words in reversed(KEY_TYPES):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | low.contains(w)
-        kind = F.when(hit, name).otherwise(kind)
+        kind = F.when(low.rlike("|".join(words)), name).otherwise(kind)
     return kind
 
 

@@ -31,7 +31,8 @@ SELECT query_id, id, score, rank FROM (
 
 
 def _ranked(df, k):
-    return top_k(df.withColumn("score", F.round("score", 6)), k, "id").select("query_id", "id", "score", "rank")
+    best = top_k(df.withColumn("score", F.round("score", 6)), k, "id")
+    return best.select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(
@@ -104,7 +105,7 @@ def _vectors(spark, sf_dir):
 
 
 def _rounded(found, k):
-    return top_k(found.drop("rank").withColumn("score", F.round("score", 6)), k, "id")
+    return _ranked(found.drop("rank"), k)
 
 
 @query("knn_topk", _knn_sql("SELECT * FROM embeddings", 10))
@@ -123,7 +124,7 @@ def knn_two_tier(spark, sf_dir):
     """The five nearest of either half; the label's parity stands for the tier."""
     rows = _vectors(spark, sf_dir).withColumn("tier", F.when(F.col("label") % 2 == 0, "primary").otherwise("secondary"))
     found = vector.two_tier(rows, rows.where("id % 20 = 0"), 5)
-    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank", "tier")
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"), "tier")
 
 
 @query("knn_index_recall")

@@ -33,7 +33,7 @@ def transcript_files(spark: SparkSession, folder: str, archived: bool = False) -
 def transcript_lines(spark: SparkSession, files: DataFrame | list[str]) -> DataFrame:
     """(file_path, line_num, value) of JSONL files, lines numbered from 1 in each."""
     paths = files if isinstance(files, list) else [r.file_path for r in files.select("file_path").collect()]
-    raw = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("file_path"), F.split("value", "\n", -1).alias("ls"))
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.split("value", "\n", -1).alias("ls"))
     return raw.select("file_path", F.posexplode("ls").alias("p", "value")).select("file_path", (F.col("p") + 1).cast("int").alias("line_num"), "value")
 
 
