@@ -132,7 +132,7 @@ class InvertedFile:
 
         return df.where(F.col(vector).isNotNull()).withColumn("list_id", F.explode(near(vector)))
 
-    def search(self, rows: DataFrame, queries: DataFrame, k: int, probes: int = 8, id_col: str = "id", vector: str = "vector") -> DataFrame:
+    def search(self, rows: DataFrame, queries: DataFrame, k: int, probes: int = 12, id_col: str = "id", vector: str = "vector") -> DataFrame:
         """(query_id, id, score, rank) among the rows of the ``probes`` lists nearest to each query."""
         indexed = self.assign(rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")), "v", 1)
         asked = self.assign(queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("q")), "q", probes)
