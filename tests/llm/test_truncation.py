@@ -52,6 +52,15 @@ def test_an_item_whose_hash_is_another_texts(spark):
     assert [r.id for r in truncated(df).where("is_cut").collect()] == [5]
 
 
+def test_a_reply_cut_where_longer_replies_go_on(spark):
+    cut = "My suggestion is to archive the folders "[:39] + "b"
+    assert len(cut) == 40
+    base = f"**User:** {cut}y Monday\n\n**Assistant:** Fine.\n\n**User:** {cut}efore noon\n\n**Assistant:** Good."
+    whole = cut[:-2]
+    df = spark.createDataFrame(rows([base, f"**User:** {cut}", f"**User:** {whole}\n\n" * 2 + "Yes.", f"**User:** {whole}"]), SCHEMA)
+    assert {r.id: r.is_cut for r in truncated(df).collect()} == {0: False, 1: True, 2: False, 3: False}
+
+
 def test_limits_are_found_and_nothing_else(spark):
     rng = random.Random(1)
     lengths = [("a", rng.randrange(200, 1000)) for _ in range(4000)] + [("b", rng.randrange(200, 900)) for _ in range(3000)]

@@ -36,6 +36,8 @@ COMPLETE, COMPLETE_AT_LIMIT, COMPLETE_OTHER_HASH = 0.002, 0.1, 0.5
 #: outer blanks of a text
 _BLANKS = " \t\n\r\x0b\x0c\x85\u00a0\u2028\u2029\u202f\u3000"
 _UNCLEAR = ("item", "reply")
+#: longest text of a labelled line that may end without a mark
+REPLY_CHARS = 40
 #: phrases a task counts before it hands them on
 PHRASES_KEPT = 400_000
 #: weight of the last word alone against the last two words
@@ -183,8 +185,11 @@ class _Counts:
                 for w in words:
                     flow.append((tokens.get(w) or self.classed(w))[0])
                 flow[-1] |= 1
+                # a reply counts by its whole text: the start of a longer line says nothing of a line that ends there
                 if line.startswith("**") and (m := re.match(_LABEL, line)):
-                    self.replies["reply:" + line[m.end() :].strip()[:40]] += 1
+                    reply = line[m.end() :].strip()
+                    if len(reply) <= REPLY_CHARS:
+                        self.replies["reply:" + reply] += 1
             flow.append(-1)
 
     def fold(self) -> None:
@@ -263,7 +268,7 @@ def endings(chunks: DataFrame, id_col: str = "id", text: str = "text") -> DataFr
         .when(tail.rlike(_OPEN_LINK), "running")
         .when(tail.rlike(_CLOSED), "stop")
         .when(line.rlike(_ITEM), "item")
-        .when(line.rlike(_LABEL) & (F.length(reply) <= 40), "reply")
+        .when(line.rlike(_LABEL) & (F.length(reply) <= REPLY_CHARS), "reply")
         .otherwise("running")
     )
     meta = F.col("metadata")
