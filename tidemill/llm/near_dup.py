@@ -8,12 +8,12 @@ registers are equal with a probability close to the sets' Jaccard similarity. St
 
 1. each text is read once and sketched where it lies; a text that the same task has met before is
    left out (a third of all rows may be copies of one text, and copies are equal at sight);
-2. four registers make a band, and texts that share a band's values are candidates. Buckets of up to
-   ``bucket_limit`` different texts give their pairs; texts of larger buckets go through an exact
-   prefix filter instead (a pair that is similar enough shares one of the rarest runs of either), so
-   no bucket is cut and none is paired in full;
+2. an exact prefix filter gives the candidates: by one order of rarity for all texts, each text offers
+   its rarest runs, so many that two texts that are similar enough share ``SHARED`` of them (or as
+   many as they must share at all). Sizes and the places of a shared run bound what two texts can
+   share. The order comes from a bounded sample; any order gives the same result;
 3. a candidate's similarity is estimated from which of its registers are equal, larger and smaller,
-   jointly with the set sizes, by maximum likelihood. Below ``threshold`` less five standard
+   jointly with the set sizes, by maximum likelihood. Below ``threshold`` less ``ERRORS`` standard
    errors a pair is dropped;
 4. the rest is verified on the exact sets, and each pair of texts expanded to its copies' ids.
 
@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 from tidemill.llm.components import components
 from tidemill.sources.tables import cut_lineage
 
-BANDS, ROWS = 32, 4
-REGISTERS = BANDS * ROWS
+REGISTERS = 128
 BASE = 1.02
 _SHIFT = math.log(32) / math.log(BASE)
 _TOP = 65_534
-#: buckets with more different texts are handled by the prefix filter
+#: rare runs that candidates share, and standard errors below the threshold that an estimate may lie
+SHARED, ERRORS = 3, 7
+#: texts from which the order of rarity is taken, and the commonest runs that it keeps
+ORDER_TEXTS, ORDER_RUNS = 8_000, 200_000
 BUCKET_LIMIT = 500
 #: up to so many texts to verify, their names (8 bytes each) are broadcast; beyond, texts are shuffled
 BROADCAST_TEXTS = 1_000_000
@@ -124,13 +126,47 @@ def _texts(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def sketches(df: DataFrame, text: str, width: int) -> DataFrame:
-    """(key, n, sketch): set size and the low bytes of the registers; a task keeps a text once."""
+def common_runs(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest runs of a bounded sample of texts, sorted, and in how many texts of it each is."""
+    share = min(1.0, ORDER_TEXTS / max(1, df.count()))
+    sample = _texts(df, text).where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = {}, set()
         for batch in batches:
-            keys, sizes, lows = [], [], []
+            found = [np.empty(0, np.uint64)]
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    found.append(shingles(t, width, words))
+            one, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n)], names=["run", "n"])
+
+    counts = sample.mapInArrow(run, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1")
+    top = counts.orderBy(F.col("n").desc(), "run").limit(ORDER_RUNS).toPandas()
+    runs, n = top["run"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(runs)
+    return runs[order], n[order]
+
+
+def rarest(runs: np.ndarray, common: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """A set's runs that stand for it, the rarest first: those whose counts are unknown in order of value."""
+    n = len(runs)
+    keep = min(n, n - math.ceil(n * threshold - 1e-9) + SHARED)
+    if not len(common):
+        return runs[:keep]
+    at = np.minimum(np.searchsorted(common, runs), len(common) - 1)
+    return runs[np.argsort(np.where(common[at] == runs, counts[at], 0), kind="stable")[:keep]]
+
+
+def sketches(df: DataFrame, text: str, width: int, threshold: float) -> DataFrame:
+    """(key, n, sketch, rare): set size, the low bytes of the registers and the rarest runs; a task keeps a text once."""
+    sent = df.sparkSession.sparkContext.broadcast(common_runs(df, text, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = {}, set()
+        for batch in batches:
+            keys, sizes, lows, rare = [], [], [], []
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if key in seen:
                     continue
@@ -142,92 +178,36 @@ def sketches(df: DataFrame, text: str, width: int) -> DataFrame:
                     keys.append(key)
                     sizes.append(len(s))
                     lows.append(minima(s))
+                    rare.append(rarest(s, *sent.value, threshold).view(np.int64))
             regs = registers(np.array(lows).reshape(-1, REGISTERS)).astype(np.uint8)
+            flat = np.concatenate(rare) if rare else np.empty(0, np.int64)
+            ends = np.r_[0, np.cumsum([len(r) for r in rare])].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array([r.tobytes() for r in regs], pa.binary())],
-                names=["key", "n", "sketch"],
-            )
-
-    return _texts(df, text).mapInArrow(run, "key bigint, n int, sketch binary")
+                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array([r.tobytes() for r in regs], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["key", "n", "sketch", "rare"],
+            )
 
+    return _texts(df, text).mapInArrow(run, "key bigint, n int, sketch binary, rare array<bigint>")
 
-def _bucket_pairs(limit: int):
-    """Reads (bucket, key) in order; gives the pairs of each bucket, or its keys alone where it is too large."""
-
-    def emit(keys: np.ndarray, out_a: list, out_b: list) -> None:
-        keys = np.unique(keys)
-        if len(keys) > 1:
-            i, j = np.triu_indices(len(keys), 1)
-            out_a.append(keys[i])
-            out_b.append(keys[j])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_bucket, held, large = None, np.empty(0, np.int64), False
-        for batch in batches:
-            bucket, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(bucket):
-                continue
-            out_a: list = []
-            out_b: list = []
-            big: list = []
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[starts[1:], len(bucket)]
-            if held_bucket is not None and bucket[0] != held_bucket:
-                if not large:
-                    emit(held, out_a, out_b)
-                held_bucket = None
-            # only runs of two rows and more matter, besides the first and the last
-            matter = np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == 0) | (ends == len(bucket)))
-            for r in matter:
-                s, e = starts[r], ends[r]
-                keys = np.unique(key[s:e])
-                if held_bucket is not None and bucket[s] == held_bucket:
-                    if large:
-                        big.append(keys)
-                    else:
-                        keys = np.union1d(held, keys)
-                    was_large = large
-                else:
-                    was_large = False
-                now_large = was_large or len(keys) > limit
-                if now_large and not was_large:
-                    big.append(keys)
-                held_bucket = None
-                if e == len(bucket):
-                    held_bucket, large = bucket[s], now_large
-                    held = np.empty(0, np.int64) if now_large else keys
-                elif not now_large:
-                    emit(keys, out_a, out_b)
-            yield _pair_batch(out_a, out_b, big)
-        if held_bucket is not None and not large:
-            out_a, out_b = [], []
-            emit(held, out_a, out_b)
-            yield _pair_batch(out_a, out_b, [])
-
-    return run
-
-
-def _pair_batch(out_a: list, out_b: list, big: list) -> pa.RecordBatch:
-    none = np.empty(0, np.int64)
-    a, b, c = (np.concatenate(x) if x else none for x in (out_a, out_b, big))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.r_[a, c]), pa.concat_arrays([pa.array(b), pa.nulls(len(c), pa.int64())])], names=["a", "b"]
-    )
 
+def candidate_pairs(sketch: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: a superset of the pairs that are similar enough, without loss.
 
-def candidate_pairs(sketch: DataFrame, limit: int) -> DataFrame:
-    """(a, b) with a < b from shared bands; b is null for a text of a bucket that is too large."""
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda i: F.shiftrightunsigned(F.xxhash64(i, F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS))), 16),
-    )
-    return (
-        sketch.select(F.explode(bands).alias("bucket"), "key")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "key")
-        .mapInArrow(_bucket_pairs(limit), "a bigint, b bigint")
-        .distinct()
-    )
+    Sets of n and m runs that are similar enough share at least t / (1 + t) * (n + m) runs. The first
+    ``SHARED`` of these, in any one order for all, are among the first n - ceil(t * n) + ``SHARED``
+    runs of either, and as many as are missing then must follow in both.
+    """
+    rare = sketch.select("key", "n", F.posexplode("rare").alias("at", "run"))
+    one = rare.select("run", F.col("key").alias("a"), F.col("n").alias("n1"), (F.col("n") - F.col("at") - 1).alias("rest1"))
+    two = rare.select("run", F.col("key").alias("b"), F.col("n").alias("n2"), (F.col("n") - F.col("at") - 1).alias("rest2"))
+    least = F.ceil((F.col("n1") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
+    sizes = (F.col("n1") >= threshold * F.col("n2") - 1e-9) & (F.col("n2") >= threshold * F.col("n1") - 1e-9)
+    met = one.join(two, "run").where((F.col("a") < F.col("b")) & sizes & (F.least("rest1", "rest2") + SHARED >= least))
+    # a shared run counts so much that those that must be shared sum to the factorial
+    whole = math.factorial(SHARED)
+    part = whole / F.greatest(F.lit(1), F.least(F.lit(SHARED), least))
+    return met.groupBy("a", "b").agg(F.sum(part.cast("int")).alias("shared")).where(F.col("shared") >= whole).select("a", "b")
 
 
 def sets_of(df: DataFrame, text: str, width: int, keys: DataFrame) -> DataFrame:
@@ -247,37 +227,18 @@ def sets_of(df: DataFrame, text: str, width: int, keys: DataFrame) -> DataFrame:
     return picked.select("key", "text").mapInArrow(run, "key bigint, runs array<bigint>")
 
 
-def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: a superset of the pairs that are similar enough, without loss.
-
-    A set of n runs must share one of its n - ceil(threshold * n) + 1 rarest runs with any set that
-    is similar enough, by one order of rarity for all; only those rare runs are joined.
-    """
-    runs = sets.select("key", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-    rarity = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # runs of one text only come first in the order and take up places without being joined
-    ranked = runs.join(rarity, "run", "left").select(
-        "key", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "run").alias("r")
-    )
-    prefix = ranked.groupBy("key", "n").agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    keep = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    rare = prefix.select("key", "n", F.explode(F.slice("rs", F.lit(1), keep)).alias("r")).where("r.df > 1")
-    rare = rare.select("key", "n", F.col("r.run").alias("run"))
-    other = rare.select(F.col("key").alias("b"), F.col("n").alias("m"), "run")
-    near = (F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n"))
-    return rare.join(other, "run").where((F.col("key") < F.col("b")) & near).select(F.col("key").alias("a"), "b").distinct()
-
-
 def similar_texts(
     df: DataFrame, text: str = "text", threshold: float = 0.8, width: int = 5, bucket_limit: int = BUCKET_LIMIT
 ) -> DataFrame:
-    """(a, b, jaccard): pairs of different texts, named by ``xxhash64(text)``, with at least ``threshold``."""
-    sketch = cut_lineage(sketches(df, text, width)).dropDuplicates(["key"])
-    found = cut_lineage(candidate_pairs(sketch, bucket_limit))
-    pairs = found.where("b is not null")
-    n_large = found.where("b is null").count()
+    """(a, b, jaccard): pairs of different texts, named by ``xxhash64(text)``, with at least ``threshold``.
+
+    ``bucket_limit`` has no effect any more: all texts go through the prefix filter.
+    """
+    found = cut_lineage(sketches(df, text, width, threshold))
+    pairs = candidate_pairs(found.select("key", "n", "rare"), threshold)
+    sketch = found.select("key", "n", "sketch").dropDuplicates(["key"])
 
-    floor = max(0.0, threshold - 5 * math.sqrt(threshold * (1 - threshold) / REGISTERS))
+    floor = max(0.0, threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / REGISTERS))
 
     @F.pandas_udf("double")
     def likely(s1: pd.Series, s2: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
@@ -293,9 +254,6 @@ def similar_texts(
         pairs.join(one, "a").join(two, "b").where(sizes)
         .where(likely("s1", "s2", "n1", "n2") >= floor).select("a", "b")
     )
-    if n_large:
-        large = sets_of(df, text, width, found.where("b is null").select(F.col("a").alias("key")).distinct())
-        likely_pairs = likely_pairs.unionByName(prefix_pairs(cut_lineage(large), threshold)).distinct()
     likely_pairs = cut_lineage(likely_pairs)
     keys = likely_pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     if likely_pairs.count() <= BROADCAST_TEXTS // 2:
