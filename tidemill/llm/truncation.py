@@ -9,8 +9,8 @@ Endings show the cut. Some are plain (a mark that says so, a broken character, a
 running text without a closing mark). Others are open: list items and short replies often end without
 a mark. For those the corpus is the judge: how often do the last words end a line or sentence
 elsewhere, and how often do they go on? Counts come from all texts, each last line left out, since it
-may be cut itself. An open ending at a significant length, or in a text that its stored hash does not
-fit, needs stronger evidence of being complete.
+may be cut itself. A list item at a significant length, or in a text that its stored hash does not fit,
+needs stronger evidence of being complete; a short reply always needs two other lines like it.
 """
 
 from __future__ import annotations
