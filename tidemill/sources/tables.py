@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed Parquet table in the shared folder: smaller than a checkpoint, pruned when read."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if its files are too few to keep them busy with work on single rows.
 
