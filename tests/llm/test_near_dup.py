@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from tidemill.llm.components import components
-from tidemill.llm.near_dup import minima, near_duplicate_groups, near_duplicate_pairs, registers, shingles, similarity
+from tidemill.llm.near_dup import Words, merged, minima, near_duplicate_groups, near_duplicate_pairs, packed, registers, shingles, similarity, unpacked
 
 
 def corpus(rng, n):
@@ -21,7 +21,7 @@ def corpus(rng, n):
 
 
 def brute(rows, threshold, width):
-    sets = [(i, set(shingles(t, width, {}).tolist())) for i, t in rows if t and t.strip()]
+    sets = [(i, set(shingles(t, width, Words()).tolist())) for i, t in rows if t and t.strip()]
     out = set()
     for x in range(len(sets)):
         for y in range(x):
@@ -41,8 +41,16 @@ def test_pairs_equal_brute_force_on_either_path(spark):
         assert got == want, limit
 
 
+def test_near_copies_of_one_template(spark):
+    """Every pair of 400 near-copies is a pair; their buckets and their runs are far larger than the limit."""
+    rows = [(i, " ".join(f"t{k}" for k in range(50)) + f" own{i} x{i % 7}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    got = near_duplicate_pairs(df, threshold=0.6, width=3, bucket_limit=50)
+    assert got.count() == 400 * 399 // 2 and got.where("id_a >= id_b").count() == 0
+
+
 def test_no_pair_is_lost_at_the_threshold(spark):
-    """1,500 pairs of similarity 0.600 and 0.604: bands of four registers lose about 16 of them."""
+    """1,500 pairs of similarity 0.600 and 0.604: 32 bands would lose about 16 of them, 60 bands 0.3."""
     rows = []
     for i in range(1500):
         n, shared = ((80, 60), (77, 58))[i % 2]
@@ -70,8 +78,12 @@ def test_sketches_merge_and_estimate():
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
     a, b = pool[:2000], pool[500:2600]
     assert (np.minimum(minima(a[:900]), minima(a[900:])) == minima(a)).all()
-    assert (np.maximum(registers(minima(a[:900])), registers(minima(a[900:]))) == registers(minima(a))).all()
-    s1, s2 = (registers(minima(x)).astype(np.uint8)[None, :] for x in (a, b))
+    many = np.r_[a[:1], a, b[:3000], a[:7]]
+    each = minima(many, np.array([0, 1, 2001, 4101]))
+    assert (each == np.vstack([minima(x) for x in (a[:1], a, b, a[:7])])).all()
+    s1, s2 = (registers(minima(x)) for x in (a, b))
+    parts = [packed(registers(minima(x)))[0] for x in (a[:900], a[900:])]
+    assert merged(*parts) == packed(s1)[0] and (unpacked(packed(s1)) == s1).all()
     got = similarity(s1, s2, np.array([2000.0]), np.array([2100.0]))[0]
     assert abs(got - 1500 / 2600) < 0.15
 
