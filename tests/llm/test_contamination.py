@@ -1,7 +1,7 @@
 import random
 import unicodedata
 
-from tidemill.llm.contamination import leaked_items, words_of
+from tidemill.llm.contamination import leaked_items, registers_of, size_class, words_of
 
 
 def brute(docs, items, run=12):
@@ -22,6 +22,10 @@ def run(spark, docs, items):
     return {(r.doc_id, r.item_id) for r in leaked_items(d, i).collect()}
 
 
+def test_partitions():
+    assert [registers_of(size_class(n)) for n in (12, 128, 511, 512, 2048, 4096)] == [2, 2, 2, 3, 4, 4]
+
+
 def test_equals_brute_force(spark):
     rng = random.Random(11)
     vocab = [f"w{i}" for i in range(60)]

@@ -3,7 +3,8 @@ import random
 import numpy as np
 
 from tidemill.llm.components import components
-from tidemill.llm.near_dup import Words, merged, minima, near_duplicate_groups, near_duplicate_pairs, packed, registers, shingles, similarity, unpacked
+from tidemill.llm.hashing import Words
+from tidemill.llm.near_dup import merged, minima, near_duplicate_groups, near_duplicate_pairs, packed, registers, shingles, similarity, unpacked
 
 
 def corpus(rng, n):
@@ -50,7 +51,7 @@ def test_near_copies_of_one_template(spark):
 
 
 def test_no_pair_is_lost_at_the_threshold(spark):
-    """1,500 pairs of similarity 0.600 and 0.604: 32 bands would lose about 16 of them, 60 bands 0.3."""
+    """1,500 pairs of similarity 0.600 and 0.604: 32 bands would lose about 16 of them, 80 bands 0.02."""
     rows = []
     for i in range(1500):
         n, shared = ((80, 60), (77, 58))[i % 2]

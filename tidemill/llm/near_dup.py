@@ -10,7 +10,7 @@ and two registers are equal with a probability slightly above the sets' Jaccard
    left out (a third of all rows may be copies of one text, and copies are equal at sight);
 2. the registers are cut into ``BANDS`` bands of ``ROWS``; texts that agree in a whole band share a
    bucket. At similarity 0.6 a register is equal with 0.604, so a pair shares no band with
-   (1 - 0.604 ** 4) ** 60, 2 in 10,000, with 4 in 100,000 at 0.62 and 5 in a million at 0.65;
+   (1 - 0.604 ** 4) ** 80, 1 in 100,000, with 2 in a million at 0.62 and 1 in 10 million at 0.65;
 3. a bucket of up to ``BUCKET_LIMIT`` texts gives its pairs. The texts of larger buckets are joined by
    an exact prefix filter instead: a text offers its rarest runs only, as many as it must for no pair
    to be lost, a run that many texts share is split into blocks over many tasks, and a pair is given at
@@ -37,14 +37,14 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import components
+from tidemill.llm.hashing import Words, run_hashes
 from tidemill.sources.tables import cut_lineage, kept_table
 
-BANDS, ROWS = 60, 4
+BANDS, ROWS = 80, 4
 REGISTERS = BANDS * ROWS
 BASE = 1.02
 _SHIFT = math.log(32) / math.log(BASE)
@@ -55,37 +55,15 @@ ERRORS = 5
 BUCKET_LIMIT = 500
 #: up to so many texts to estimate or verify, their names (8 bytes each) are broadcast; beyond, texts are shuffled
 BROADCAST_TEXTS = 1_000_000
-WORDS_KEPT = 500_000
 SEEN_KEPT = 1_000_000
 
 _WORD = re.compile(r"\w+")
 _STEP = 256
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-class Words(dict):
-    """The 8-byte hashes of words, each computed when first asked for; emptied when it holds too many."""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        got = self[word] = xxhash.xxh64_digest(word.encode("utf-8", "replace"))
-        return got
 
 
 def shingles(text: str, width: int, words: Words) -> np.ndarray:
     """The 64-bit hashes of the different runs of ``width`` words of a text, sorted."""
-    h = np.frombuffer(b"".join(map(words.__getitem__, _WORD.findall(text.lower()))), np.uint64)
-    if not len(h):
-        return np.empty(0, np.uint64)
-    k = min(width, len(h))
-    s = h[: len(h) - k + 1].copy()
-    for i in range(1, k):
-        s = (s ^ (s >> np.uint64(31))) * (_A if i % 2 else _B) + h[i : len(h) - k + 1 + i]
-    s ^= s >> np.uint64(29)
-    s *= np.uint64(0xBF58476D1CE4E5B9)
-    s ^= s >> np.uint64(32)
-    return np.unique(s)
+    return np.unique(run_hashes(words.hashes(_WORD.findall(text.lower())), width))
 
 
 @lru_cache(maxsize=4)
