@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tidemill.llm.sentences import sentence_spans, sentence_units
@@ -56,3 +58,19 @@ def test_rows(spark):
     rows = sorted((r.doc_id or 0, r.start_pos, r.end_pos) for r in sentence_units(df).collect())
     assert rows == [(0, 0, 1), (1, 0, 3), (1, 0, 3), (1, 4, 10), (1, 4, 10)]
     assert sentence_units(df.where("false")).count() == 0
+
+
+def test_nested_lists():
+    text = "- one\n  - two. Here\n    goes on\n  Of one. Still\n- three\nText. End."
+    assert units(text) == ["- one", "- two. Here\n    goes on", "Of one. Still", "- three", "Text.", "End."]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["- item\n" + "  goes on\n" * 100_000, "- item\n" + "goes on\n" * 125_000, "(" * 500_000 + ")" * 500_000, "([{" * 300_000 + "”" * 100_000,
+     "x " + "(a.) b " * 140_000, "x\n1. y.\n" * 120_000, "Run on\n" * 140_000 + "1. x"],
+)
+def test_long_texts_take_linear_time(text):
+    began = time.process_time()
+    sentence_spans(text)
+    assert time.process_time() - began < 4

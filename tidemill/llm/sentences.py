@@ -1,12 +1,14 @@
 """Sentence units of every document, whatever its language, script and layout.
 
 Lines are first grouped into blocks: a heading line, a list item with the lines that continue it, a
-fenced block, or running text up to a blank line. The first three are one unit each. Running text is
-read by a pushdown automaton: openers of quotations and brackets are pushed, closers pop, and a
+fenced block, or running text up to a blank line. The first three are one unit each; the levels of open
+list items are a stack, so a line that leaves a nested item goes on with the item around it. Running
+text is read by a pushdown automaton: openers of quotations and brackets are pushed, closers pop, and a
 terminator ends a sentence only at depth zero, so a sentence quoted inside another never splits it.
 When a closer empties the stack right after a terminator, what follows decides. A full stop is looked
 up in a trie of abbreviations, read backwards from the stop. Openers that are never closed in their
-block are ignored in a second pass over it. Offsets count code points.
+block are ignored in a second pass over it. Offsets count code points. The time is linear in the text's
+length, whatever its nesting.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ _GOES_ON = {"on", "in", "at", "and", "or", "to", "until", "till", "but", "by", "
 
 _PAIRS = {"“": "”", "«": "»", "(": ")", "[": "]", "{": "}", "「": "」", "『": "』", "（": "）", "《": "》", "【": "】", "„": "“”", "‹": "›", "〈": "〉"}
 _CLOSERS = {c for v in _PAIRS.values() for c in v} | {'"'}
+#: what each closer may close
+_OPENS = {c: tuple(o for o, v in [*_PAIRS.items(), ('"', '"')] if c in v) for c in _CLOSERS}
 _OPENERS = set(_PAIRS) | {'"', "¿", "¡"}
 _BRACKETS = set("([{（【")
 _STOPS = ".!?。！？।॥؟۔…｡"
@@ -55,6 +59,7 @@ _SPECIAL = re.compile(
 )
 _RUN = re.compile("[" + re.escape(_STOPS) + "]+")
 _SPACE = re.compile(r"\s*")
+_LEAD = re.compile("[ \t\r\n  *_]*")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 _FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
 _HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]+\S|[ \t]*$)")
@@ -159,6 +164,7 @@ def _ends_sentence(text: str, i: int, j: int, low: int, high: int) -> bool:
 def _scan(text: str, low: int, high: int, skip: frozenset) -> tuple[list[tuple[int, int]], list[int]]:
     """Sentences of running text in [low, high), and the openers that were not closed."""
     units, stack, start, pos = [], [], low, low
+    held: dict[str, int] = {}  # how many of each opener are on the stack
     while m := _SPECIAL.search(text, pos, high):
         i, c = m.start(), text[m.start()]
         pos = i + 1
@@ -180,23 +186,21 @@ def _scan(text: str, low: int, high: int, skip: frozenset) -> tuple[list[tuple[i
                 start = pos
         elif i in skip:
             continue
-        elif c in _CLOSERS and _closes(stack, c):
-            while stack and not (stack[-1][0] == c == '"' or c in _PAIRS.get(stack[-1][0], "")):
-                stack.pop()
-            opener, at = stack.pop()
+        elif c in _CLOSERS and any(held.get(o) for o in _OPENS[c]):
+            opener = None
+            while opener not in _OPENS[c]:
+                opener, at = stack.pop()
+                held[opener] -= 1
             if not stack and _after_stop(text, at, i) and _ends_after_closer(text, opener, at, start, pos, high):
                 units.append((start, pos))
                 start = pos
         elif c in _PAIRS or c == '"':
             stack.append((c, i))
+            held[c] = held.get(c, 0) + 1
     units.append((start, high))
     return units, [at for _, at in stack]
 
 
-def _closes(stack: list, c: str) -> bool:
-    return any(o == '"' == c or c in _PAIRS.get(o, "") for o, _ in stack)
-
-
 def _after_stop(text: str, low: int, closer: int) -> bool:
     k = closer - 1
     while k > low and (text[k].isspace() or text[k] in _CLOSERS):
@@ -245,7 +249,8 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     if not text or text.isspace():
         return out
-    kind, begin, level, end = "", 0, 0, 0  # the open block: "", text or item
+    kind, begin, end = "", 0, 0  # the open block: "", text or item
+    levels: list[int] = []  # the indents of the open list items, the innermost last
 
     def flush() -> None:
         nonlocal kind
@@ -262,6 +267,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         line = text[s:e]
         if line.isspace() or not line:
             flush()
+            levels.clear()
         elif f := _FENCE.match(line):
             flush()
             mark = f[1]
@@ -275,12 +281,19 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         elif _HEADING.match(line):
             flush()
             _put(text, s, e, out)
-        elif (b := _BULLET.match(line)) or _is_numbered(line, kind, text, begin, end):
+        elif _BULLET.match(line) or _is_numbered(line, kind, text, begin, end):
             flush()
-            kind, begin, end, level = "item", s, e, len(b[1]) if b else len(line) - len(line.lstrip())
-        elif kind == "item" and not _continues(text, end, line, level):
+            indent = _indent(line)
+            while levels and levels[-1] >= indent:
+                levels.pop()
+            levels.append(indent)
+            kind, begin, end = "item", s, e
+        elif kind == "item" and not _continues(text, end, line, levels[-1]):
             flush()
-            kind, begin, end = "text", s, e
+            indent = _indent(line)
+            while levels and levels[-1] >= indent:
+                levels.pop()
+            kind, begin, end = "item" if levels else "text", s, e
         elif kind:
             end = e
         else:
@@ -295,20 +308,29 @@ def _is_numbered(line: str, kind: str, text: str, begin: int, end: int) -> bool:
         return False
     if kind != "text":
         return True
-    before = text[begin:end].rstrip()
-    return m[2] == "1" and bool(before) and before[-1] in _STOPS + "\"”»)" and _ends_sentence_at_end(before)
+    k = _last(text, begin, end)
+    return m[2] == "1" and k >= begin and text[k] in _STOPS + "\"”»)" and (
+        text[k] != "." or _abbreviation(text, k, begin) not in ("never", "number")
+    )
 
 
-def _ends_sentence_at_end(before: str) -> bool:
-    return before[-1] != "." or _abbreviation(before, len(before) - 1, 0) not in ("never", "number")
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def _last(text: str, begin: int, end: int) -> int:
+    """The place of the last character of [begin, end) that is no blank; before ``begin`` if there is none."""
+    k = end - 1
+    while k >= begin and text[k].isspace():
+        k -= 1
+    return k
 
 
 def _continues(text: str, end: int, line: str, level: int) -> bool:
     """Does a line without a marker belong to the item above it?"""
-    first = line.lstrip()
-    if len(line) - len(first) > level:
+    if _indent(line) > level:
         return True
-    return first[0].islower() and text[:end].rstrip()[-1] not in _STOPS
+    return line.lstrip()[0].islower() and text[_last(text, 0, end)] not in _STOPS
 
 
 def sentence_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
