@@ -59,7 +59,7 @@ _SPECIAL = re.compile(
 )
 _RUN = re.compile("[" + re.escape(_STOPS) + "]+")
 _SPACE = re.compile(r"\s*")
-_LEAD = re.compile("[ \t\r\n  *_]*")
+_LEAD = re.compile("[ \t\r\n  *_]*")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 _FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
 _HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]+\S|[ \t]*$)")
@@ -213,8 +213,7 @@ def _ends_after_closer(text: str, opener: str, at: int, start: int, pos: int, hi
     if m >= high:
         return False  # the rest of the block ends here anyway
     if opener in _BRACKETS:
-        lead = text[start:at].strip(" \t\r\n  *_")
-        return not lead and text[m] not in ".,;:!?"
+        return _LEAD.match(text, start, at).end() == at and text[m] not in ".,;:!?"
     return _starts(text[m]) and (text[pos].isspace() or text[m] in _OPENERS)
 
 
