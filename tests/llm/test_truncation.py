@@ -45,11 +45,25 @@ def test_endings(spark):
     assert {t: got.get(i) for i, t in enumerate(texts)} == cases
 
 
-def test_an_item_whose_hash_is_another_texts(spark):
-    base = "- Plan: green harbor\n- Seats: every Monday at noon\n- Port: quiet kettle\n"
-    texts = [base] * 5 + [base + "- Seats: every", base + "- Seats: every Monday at noon"]
-    df = spark.createDataFrame(rows(texts, {5: base + "- Seats: every Monday at noon"}), SCHEMA)
-    assert [r.id for r in truncated(df).where("is_cut").collect()] == [5]
+def test_items_and_replies_at_a_limit(spark):
+    """Of 200 texts of 120 characters, a limit, those with open endings are cut unless their last words are sure."""
+    rng = random.Random(4)
+    lead = "- Plan: quiet harbor\n- Seats: every Monday\n"
+    texts = [lead + "- Port: " + "k" * rng.randrange(20, 320) + " Monday" for _ in range(400)]
+    texts = [t for t in texts if len(t) != 120]
+    n = len(texts)
+    texts += [("- Plan: quiet harbor\n" * 9)[: 120 - 12] + "- Seats: eve" for _ in range(180)]
+    texts += [("- Port: a kettle\n" * 9)[: 120 - 25] + "\n- Seats: quiet at Monday" for _ in range(3)]
+    got = {r.id: r for r in truncated(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert all(len(texts[i]) == 120 and got[i].at_limit for i in range(n, n + 183))
+    assert [got[i].is_cut for i in range(n, n + 183)] == [True] * 180 + [False] * 3
+    assert not any(got[i].is_cut or got[i].at_limit for i in range(n))
+
+
+def test_a_long_last_line_is_judged_whole(spark):
+    item = "- Seats: " + "word " * 200 + "Monday"
+    df = spark.createDataFrame(rows([item + "\n" + item, "**User:** " + "word " * 200 + "Monday"]), SCHEMA)
+    assert {r.id: (r.kind, r.is_cut) for r in truncated(df).collect()} == {0: ("item", False), 1: ("running", True)}
 
 
 def test_a_reply_cut_where_longer_replies_go_on(spark):
@@ -77,10 +91,12 @@ def test_limits_are_found_and_nothing_else(spark):
 
 
 def test_poisson_tail():
-    for mean in (0.01, 0.5, 3.0, 20.0):
-        for n in (0, 1, 2, 5, 30):
-            want = 1 - sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(n))
+    for mean in (0.01, 0.5, 3.0, 20.0, 120.0):
+        for n in (0, 1, 2, 5, 30, 119, 150):
+            want = 1 - sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(n))
             assert abs(_poisson_tail(n, mean) - want) < 1e-9
+    # far beyond a few thousand terms the tail at the mean is still about a half
+    assert abs(_poisson_tail(10_000_000, 1e7) - 0.5) < 0.001 and abs(_poisson_tail(99_000, 100_000.0) - 0.9992) < 0.0005
 
 
 def test_report_and_empty_table(spark):

@@ -161,18 +161,34 @@ def p2_report(spark, sf_dir):
     return truncation.truncation_report(table(spark, sf_dir, "chunks"))
 
 
-@query(
-    "p2_hazards",
-    """WITH n AS (SELECT metadata.source AS source, split_part(file_path, '/', 1) AS family, length(text) AS len, count(*) AS n
-  FROM chunks WHERE regexp_matches(text, '\\S') GROUP BY ALL)
-SELECT source, family, len, n, at_risk, n / at_risk AS hazard FROM (
-  SELECT *, sum(n) OVER (PARTITION BY source, family ORDER BY len DESC)::BIGINT AS at_risk FROM n)""",
-)
+#: the Poisson tail summed term by term; the rest as in the operator
+_HAZARDS_SQL = """WITH n AS (SELECT metadata.source AS source, split_part(file_path, '/', 1) AS family, length(text) AS len, count(*) AS n
+  FROM chunks WHERE regexp_matches(text, '\\S') GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY source, family ORDER BY len DESC)::BIGINT AS at_risk FROM n),
+w AS (SELECT *, sum(n) OVER near - n AS near_n, avg(at_risk) OVER near AS near_risk,
+    greatest(least({near}, len - min(len) OVER g) + least({near}, max(len) OVER g - len), 1) AS near_lengths,
+    min(len) OVER g < max(len) OVER g AS compared
+  FROM r WINDOW g AS (PARTITION BY source, family),
+    near AS (PARTITION BY source, family ORDER BY len RANGE BETWEEN {near} PRECEDING AND {near} FOLLOWING)),
+m AS (SELECT *, (near_n + 0.5::DOUBLE) / near_lengths / near_risk AS expected,
+    CASE WHEN compared THEN greatest((near_n + 0.5::DOUBLE) / near_lengths / near_risk * at_risk, (near_n + 0.5::DOUBLE) / near_lengths)
+      ELSE n END::DOUBLE AS mean FROM w),
+p AS (SELECT *, CASE WHEN n > mean THEN list_sum(list_transform(range(n, n + 400), lambda k: exp(k * ln(mean) - mean - lgamma(k + 1))))
+    ELSE 1 END AS p FROM m),
+q AS (SELECT p, row_number() OVER (ORDER BY p) AS rank FROM p WHERE p <= {alpha}),
+cut AS (SELECT coalesce(max(p), -1) AS cut FROM q WHERE p <= rank * {alpha} / (SELECT count(*) FROM p))
+SELECT source, family, len, n, at_risk, n / at_risk AS hazard, round(expected, 9) AS expected,
+  round(greatest(0, 1 - mean / n), 6) AS excess, p <= cut AS significant FROM p CROSS JOIN cut"""
+
+
+@query("p2_hazards", _HAZARDS_SQL.format(near=truncation.NEIGHBOURS, alpha=truncation.ALPHA))
 def p2_hazards(spark, sf_dir):
-    """The discrete hazard of every length of every source."""
+    """The discrete hazard of every length of every source, and which are significant."""
     chunks = table(spark, sf_dir, "chunks").where(F.col("text").rlike(r"(?U)\S"))
     lengths = chunks.select("metadata.source", truncation.family(F.col("file_path")).alias("family"), F.length("text").alias("len"))
-    return truncation.length_hazards(lengths).select("source", "family", "len", "n", "at_risk", "hazard")
+    return truncation.length_hazards(lengths).select(
+        "source", "family", "len", "n", "at_risk", "hazard", F.round("expected", 9).alias("expected"), F.round("excess", 6).alias("excess"), "significant"
+    )
 
 
 @query("p3_found")

@@ -3,14 +3,18 @@
 Limits show in the lengths. For each source the discrete hazard of a length is the share, among texts
 at least so long, of those exactly so long; at a limit it jumps. ``length_hazards`` computes hazards
 with window functions over counts by length, tests each against the pooled hazard of its neighbours
-(exact Poisson tail), and keeps the false discovery rate below ``alpha`` (Benjamini and Hochberg).
+(exact Poisson tail), and keeps the false discovery rate below ``alpha`` (Benjamini and Hochberg). Where
+a significant length holds ``LIMIT`` times as many texts as its neighbours lead to expect, it is a limit,
+and the excess share of its texts is the probability that one of them was cut there.
 
 Endings show the cut. Some are plain (a mark that says so, a broken character, an open fenced block,
 running text without a closing mark). Others are open: list items and short replies often end without
-a mark. For those the corpus is the judge: how often do the last words end a line or sentence
+a mark. For those lengths and corpus judge together: how often do the last words end a line or sentence
 elsewhere, and how often do they go on? Counts come from all texts, each last line left out, since it
-may be cut itself. A list item at a significant length, or in a text that its stored hash does not fit,
-needs stronger evidence of being complete; a short reply always needs two other lines like it.
+may be cut itself. At a limit an open ending is cut unless its last words end a line more surely than
+the limit cuts. Elsewhere a list item is cut only if its last words all but never end a line, and a short
+reply if no two other lines of the corpus say the same; where a corpus is so small that most replies are
+new, the last words decide for replies too. A text's stored hash plays no part.
 """
 
 from __future__ import annotations
@@ -26,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.sources.tables import cut_lineage
+from tidemill.sources.tables import kept_table
 
 #: lengths on either side whose hazards are pooled
 NEIGHBOURS = 25
 ALPHA = 0.01
-#: least share of complete endings: usual, at a significant length, and where the stored hash is another text's
-COMPLETE, COMPLETE_AT_LIMIT, COMPLETE_OTHER_HASH = 0.002, 0.1, 0.5
+#: how many times as many texts as expected a length must hold to be a limit
+LIMIT = 2.0
+#: least share of complete endings away from limits: of list items, and of replies of a corpus where this share of replies is new
+COMPLETE, NOVEL = 0.0001, 0.5
 #: outer blanks of a text
 _BLANKS = " \t\n\r\x0b\x0c\x85\u00a0\u2028\u2029\u202f\u3000"
 _UNCLEAR = ("item", "reply")
@@ -64,11 +70,12 @@ def family(file_path: Column) -> Column:
 
 
 def length_hazards(lengths: DataFrame, neighbours: int = NEIGHBOURS, alpha: float = ALPHA) -> DataFrame:
-    """(source, family, len, n, at_risk, hazard, expected, p_value, significant) from one row per text.
+    """(source, family, len, n, at_risk, hazard, expected, p_value, excess, significant) from one row per text.
 
     ``lengths`` has (source, family, len). Rows are counted before anything is ordered; the windows
     run over one row per source and length. A source with one length only has nothing to compare
-    with, and is never significant.
+    with, and is never significant. ``excess`` is the share of a length's texts beyond what its
+    neighbours lead to expect.
     """
     counts = lengths.where("len is not null").groupBy("source", "family", "len").agg(F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy("source", "family")
@@ -96,8 +103,9 @@ def length_hazards(lengths: DataFrame, neighbours: int = NEIGHBOURS, alpha: floa
 
     tested = pooled.select(
         "source", "family", "len", "n", "at_risk", (F.col("n") / F.col("at_risk")).alias("hazard"),
-        expected.alias("expected"), tail("n", mean).alias("p_value"),
+        expected.alias("expected"), tail("n", mean).alias("p_value"), F.greatest(F.lit(0.0), 1 - mean / F.col("n")).alias("excess"),
     )
+    tested = kept_table(tested)
     tests = tested.agg(F.count(F.lit(1)).alias("tests"))
     # only p-values up to alpha can be discoveries: few rows are ranked
     ranked = tested.where(F.col("p_value") <= alpha).withColumn("rank", F.row_number().over(Window.orderBy("p_value")))
@@ -111,19 +119,34 @@ def length_hazards(lengths: DataFrame, neighbours: int = NEIGHBOURS, alpha: floa
 
 
 def _poisson_tail(n: int, mean: float) -> float:
-    """P(X >= n) for a Poisson variable."""
+    """P(X >= n) for a Poisson variable: the regularised incomplete gamma function P(n, mean)."""
     if n <= 0:
         return 1.0
-    if n <= mean:
-        below = sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(max(0, n - 2000), n))
-        return max(0.0, 1.0 - below)
-    term = total = math.exp(n * math.log(mean) - mean - math.lgamma(n + 1))
-    k = n
-    while term > total * 1e-12:
-        k += 1
-        term *= mean / k
-        total += term
-    return min(1.0, total)
+    if mean <= 0:
+        return 0.0
+    front = math.exp(n * math.log(mean) - mean - math.lgamma(n + 1))
+    if mean < n + 1:
+        term = total = 1.0
+        k = n
+        while term > total * 1e-15:
+            k += 1
+            term *= mean / k
+            total += term
+        return min(1.0, front * total)
+    # beyond the mean: the complement's continued fraction, by Lentz's method
+    tiny = 1e-300
+    b = mean + 1 - n
+    c, d = 1 / tiny, 1 / b
+    h = d
+    for i in range(1, 1_000_000):
+        a = -i * (i - n)
+        b += 2
+        d = 1 / (d * a + b or tiny)
+        c = a / c + b or tiny
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return max(0.0, 1 - front * n * h)
 
 
 def _word(token: str) -> str:
@@ -249,73 +272,71 @@ def _last_phrases(lines: pd.Series) -> pd.DataFrame:
 
 
 def endings(chunks: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """One row per non-null, non-blank text: its ending's kind and whether the stored hash is another text's.
+    """One row per non-null, non-blank text with its ending's kind.
 
     Kinds: ``mark`` (a mark of truncation, or a broken character), ``fence`` (an open fenced block),
     ``running`` (no closing mark in running text), ``stop`` (a closing mark), ``item`` (a list item
-    without one), ``reply`` (a labelled line without one), ``block`` (a closed fenced block).
+    without one), ``reply`` (a labelled line without one), ``block`` (a closed fenced block). ``line``, the
+    whole last line, and ``reply`` are null where the kind needs no second look.
     """
     t = F.rtrim(F.col(text), F.lit(_BLANKS))
     line = F.substring_index(t, "\n", -1)
-    tail = F.when(F.length(line) > 400, F.substring(line, -400, 400)).otherwise(line)
     fences = F.when(t.contains("```"), F.size(F.split(F.concat(F.lit("\n"), t), r"\n[ \t]*```", -1)) - 1).otherwise(0)
-    reply = F.regexp_replace(tail, _LABEL, "")
+    reply = F.regexp_replace(line, _LABEL, "")
     kind = (
-        F.when(tail.rlike(_MARK) | tail.endswith("�"), "mark")
+        F.when(line.rlike(_MARK) | line.endswith("�"), "mark")
         .when(fences % 2 == 1, "fence")
-        .when(tail.rlike(r"^\s*```"), "block")
-        .when(tail.rlike(_OPEN_STOP) & ~tail.rlike(_STREET), "running")
-        .when(tail.rlike(_OPEN_LINK), "running")
-        .when(tail.rlike(_CLOSED), "stop")
+        .when(line.rlike(r"^\s*```"), "block")
+        .when(line.rlike(_OPEN_STOP) & ~line.rlike(_STREET), "running")
+        .when(line.rlike(_OPEN_LINK), "running")
+        .when(line.rlike(_CLOSED), "stop")
         .when(line.rlike(_ITEM), "item")
         .when(line.rlike(_LABEL) & (F.length(reply) <= REPLY_CHARS), "reply")
         .otherwise("running")
     )
-    meta = F.col("metadata")
-    # only where the hash is asked: of the text as it is, without trailing blanks, and without its date line
-    hashed = F.array(F.col(text), t, F.regexp_replace(t, r"^Date: [^\n]*\n", ""))
-    same = F.exists(hashed, lambda x: F.substring(F.md5(F.encode(x, "utf-8")), 1, 12) == meta["hash"])
-    return chunks.where(F.col(text).rlike(r"(?U)\S")).select(
-        F.col(id_col).alias("id"),
-        meta["source"].alias("source"),
-        family(F.col("file_path")).alias("family"),
-        F.length(text).alias("len"),
-        kind.alias("kind"),
-        F.when(kind.isin(*_UNCLEAR) & meta["hash"].isNotNull(), ~same).otherwise(F.lit(False)).alias("other_hash"),
-        tail.alias("line"),
-        F.concat(F.lit("reply:"), F.trim(reply)).alias("reply"),
-    )
+    rows = chunks.where(F.col(text).rlike(r"(?U)\S")).select(
+        F.col(id_col).alias("id"), F.col("metadata")["source"].alias("source"), family(F.col("file_path")).alias("family"),
+        F.length(text).alias("len"), kind.alias("kind"), line.alias("line"), F.concat(F.lit("reply:"), F.trim(reply)).alias("reply"),
+    )
+    unclear = F.col("kind").isin(*_UNCLEAR)
+    return rows.withColumn("line", F.when(unclear, F.col("line"))).withColumn("reply", F.when(F.col("kind") == "reply", F.col("reply")))
 
 
 def truncated(chunks: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     """(id, source, family, len, kind, at_limit, is_cut) of every non-null, non-blank text.
 
-    Null and blank texts are no cases. Equal texts are judged alike unless their metadata differ.
-    Repeated rows give repeated rows; null metadata, paths and hashes are read as no evidence.
+    Null and blank texts are no cases. Texts of equal source, family and ending are judged alike. Repeated
+    rows give repeated rows; null metadata and paths are a source and a family of their own.
     """
-    rows = cut_lineage(endings(chunks, id_col, text))
-    limits = length_hazards(rows.select("source", "family", "len")).where("significant")
-    marks = limits.select(
-        F.coalesce("source", F.lit("")).alias("ls"), F.coalesce("family", F.lit("")).alias("lf"), F.col("len").alias("ll")
-    )
-    at = (F.coalesce("source", F.lit("")) == F.col("ls")) & (F.coalesce("family", F.lit("")) == F.col("lf")) & (F.col("len") == F.col("ll"))
+    rows = kept_table(endings(chunks, id_col, text))
+    none = F.lit("")
+    limits = length_hazards(rows.select("source", "family", "len")).where(F.col("significant") & (F.col("n") * (1 - F.col("excess")) * LIMIT <= F.col("n")))
+    marks = limits.select(F.coalesce("source", none).alias("ls"), F.coalesce("family", none).alias("lf"), F.col("len").alias("ll"), "excess")
+    at = (F.coalesce("source", none) == F.col("ls")) & (F.coalesce("family", none) == F.col("lf")) & (F.col("len") == F.col("ll"))
     rows = rows.join(marks, at, "left").withColumn("at_limit", F.col("ll").isNotNull()).drop("ls", "lf", "ll")
 
     split = F.pandas_udf(_last_phrases, "one string, two string")
     unclear = rows.where(F.col("kind").isin(*_UNCLEAR)).withColumn("w", split("line")).select("*", "w.*").drop("w")
     texts = chunks.where(F.col(text).rlike(r"(?U)\S")).select(F.col(text))
-    # the phrases of unclear endings are few beside all phrases: only their counts are kept
-    asked = unclear.select(F.explode(F.array("one", "two", "reply")).alias("phrase")).distinct()
-    known = cut_lineage(phrase_ends(texts).join(asked, "phrase", "left_semi"))
+    # the phrases of unclear endings are few beside all phrases: only their counts are kept, and those of replies
+    asked = unclear.select(F.explode(F.array("one", "two", "reply")).alias("phrase")).distinct().withColumn("asked", F.lit(True))
+    known = kept_table(phrase_ends(texts).join(asked, "phrase", "left").where(F.col("asked") | F.col("phrase").startswith("reply:")).drop("asked"))
+    # how often a reply is new: of the corpus' replies, the share of those said once
+    said = known.where(F.col("phrase").startswith("reply:"))
+    novelty = said.agg((F.count_if(F.col("ends") == 1) / F.nullif(F.sum("ends"), F.lit(0))).alias("novelty"))
     one = known.select(F.col("phrase").alias("one"), F.col("ends").alias("e1"), F.col("goes_on").alias("g1"))
     two = known.select(F.col("phrase").alias("two"), F.col("ends").alias("e2"), F.col("goes_on").alias("g2"))
-    said = known.select(F.col("phrase").alias("reply"), F.col("ends").alias("times"))
-    judged = unclear.join(one, "one", "left").join(two, "two", "left").join(said, "reply", "left")
+    times = said.select(F.col("phrase").alias("reply"), F.col("ends").alias("times"))
+    judged = unclear.join(one, "one", "left").join(two, "two", "left").join(times, "reply", "left").join(F.broadcast(novelty))
     zero = {c: 0 for c in ("e1", "g1", "e2", "g2", "times")}
-    alone = F.col("e1") / (F.col("e1") + F.col("g1") + 1)
+    alone = (F.col("e1") + 0.5) / (F.col("e1") + F.col("g1") + 1)
     share = (F.col("e2") + BACKOFF * alone) / (F.col("e2") + F.col("g2") + BACKOFF)
-    need = F.when(F.col("other_hash"), COMPLETE_OTHER_HASH).when(F.col("at_limit"), COMPLETE_AT_LIMIT).otherwise(COMPLETE)
-    cut_off = F.when(F.col("kind") == "reply", F.col("times") < 2).otherwise(share < need)
+    unheard = (F.col("times") < 2) & ((F.coalesce("novelty", F.lit(0.0)) < NOVEL) | (share < NOVEL))
+    cut_off = (
+        F.when(F.col("at_limit"), F.when(F.col("kind") == "reply", (F.col("times") < 2) | (share < F.col("excess"))).otherwise(share < F.col("excess")))
+        .when(F.col("kind") == "reply", unheard)
+        .otherwise(share < COMPLETE)
+    )
     columns = ["id", "source", "family", "len", "kind", "at_limit"]
     judged = judged.fillna(zero).select(*columns, cut_off.alias("is_cut"))
     plain = rows.where(~F.col("kind").isin(*_UNCLEAR)).select(
