@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tidemill.llm.boosting import Boosted
-from tidemill.llm.pii import TYPES, candidates, find_pii, fit, redact
+from tidemill.llm.pii import TYPES, candidates, find_pii, fit, redact, redact_tables
 
 SF = "/root/testdata/sf0.1"
 
@@ -43,6 +43,22 @@ def test_redaction_keeps_the_rest(spark, model):
     assert find_pii(df.where("false"), model, "id", "text").count() == 0
 
 
+def test_values_of_entities_are_redacted_too(spark, model):
+    chunks = spark.createDataFrame([(1, "Call (671) 555-0193.")], "id long, text string")
+    ents = spark.createDataFrame([(1, "r.dunwick@example.com"), (2, None), (3, "  blue kettle "), (3, "  blue kettle ")], "id long, entity_value string")
+    got = sorted((r.table_name, r.row_id, r.redacted) for r in redact_tables(chunks, ents, model).collect() if r.redacted)
+    assert got == [("chunks", 1, "Call [PHONE]."), ("entities", 1, "[EMAIL]"), *[("entities", 3, "  blue kettle ")] * 2]
+    assert redact_tables(chunks, ents, model).count() == 5
+
+
+def test_repeated_labels_do_not_change_the_fit(spark):
+    chunks = spark.read.parquet("/root/testdata/sf0.01/chunks.parquet")
+    ents = spark.read.parquet("/root/testdata/sf0.01/entities.parquet")
+    hot = ents.where("chunk_id % 50 = 3").selectExpr("*", "explode(sequence(1, 20)) as again").drop("again")
+    one, two = fit(chunks, ents), fit(chunks, ents.unionByName(hot))
+    assert one.thresholds == two.thresholds and set(one.trees) == set(TYPES)
+
+
 def test_generators_propose_every_format():
     cases = [
         ("email", "a.b+c@mail.example.org"), ("email", "a_b [at] post [dot] invalid"), ("email", "ab(at)x.example"),

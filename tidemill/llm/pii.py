@@ -31,8 +31,8 @@ from tidemill.llm.boosting import Boosted
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
-#: labelled chunks the models are fitted on
-SAMPLE_CHUNKS = 6_000
+#: labelled chunks the models are fitted on, of up to so many characters each and with so many labels in all
+SAMPLE_CHUNKS, SAMPLE_CHARS, SAMPLE_LABELS = 6_000, 20_000, 200_000
 #: a type's threshold as a share of its labelling rate
 SHARE = 0.12
 #: entity types and names that label a type
@@ -271,19 +271,24 @@ def _without_overlap(found: list) -> list[tuple[int, int, str, float]]:
 def fit(chunks: DataFrame, entities: DataFrame, sample: int = SAMPLE_CHUNKS, seed: int = 7) -> PiiModel:
     """Models from the values that ``entities`` gives for a bounded sample of ``chunks``.
 
-    A type without any labelled span gets no model and is not found.
+    The driver sees at most ``sample`` texts of ``SAMPLE_CHARS`` characters and ``SAMPLE_LABELS`` different
+    labels, whatever the tables hold and however often a label is repeated. A type without any labelled span gets no model and is not found.
     """
     named = entities.where("chunk_id is not null and entity_value is not null")
-    picked = named.select("chunk_id").distinct().orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample)
-    picked = F.broadcast(picked)
-    texts = chunks.where("text is not null").join(picked, chunks["id"] == picked["chunk_id"], "left_semi").select("id", "text")
-    values = named.join(picked, "chunk_id", "left_semi").select("chunk_id", "entity_type", "entity_name", "entity_value")
+    lowest = F.xxhash64("chunk_id"), F.col("chunk_id")
+    picked = F.broadcast(named.select("chunk_id").distinct().orderBy(*lowest).limit(sample))
+    texts = (
+        chunks.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).join(picked, chunks["id"] == picked["chunk_id"], "left_semi")
+        .select("id", "text").dropDuplicates(["id"])
+    )
+    values = (
+        named.where(F.col("entity_name").isin(*_LABELS)).join(picked, "chunk_id", "left_semi")
+        .select("chunk_id", "entity_name", F.trim("entity_value").alias("v")).distinct().orderBy(*lowest, "entity_name", "v").limit(SAMPLE_LABELS)
+    )
     labels: dict[int, set] = defaultdict(set)
     model, t = PiiModel(), None
-    for c, _, n, v in values.toPandas().itertuples(index=False):
-        kind = _LABELS.get(n)
-        if kind:
-            labels[c].add((kind, v.strip()))
+    for c, n, v in values.toPandas().itertuples(index=False):
+        labels[c].add((_LABELS[n], v.strip()))
     data = sorted(texts.toPandas().itertuples(index=False))
     rng = np.random.default_rng(seed)
     parts = {c: int(rng.integers(3)) for c, _ in data}
@@ -392,6 +397,13 @@ def redact(df: DataFrame, model: PiiModel, id_col: str, text: str) -> DataFrame:
     return df.select(F.col(id_col), F.col(text)).mapInArrow(run, f"row_id {kind}, redacted string")
 
 
+def redact_tables(chunks: DataFrame, entities: DataFrame, model: PiiModel | None = None) -> DataFrame:
+    """(table_name, row_id, redacted): every row of both tables, its text with typed placeholders."""
+    model = model or fit(chunks, entities)
+    one = redact(chunks, model, "id", "text").select(F.lit("chunks").alias("table_name"), "row_id", "redacted")
+    return one.unionByName(redact(entities, model, "id", "entity_value").select(F.lit("entities").alias("table_name"), "row_id", "redacted"))
+
+
 def pii_of_tables(chunks: DataFrame, entities: DataFrame, model: PiiModel | None = None) -> DataFrame:
     """(table_name, row_id, pii_type, value): the distinct values found in each row of both tables."""
     model = model or fit(chunks, entities)

@@ -198,6 +198,5 @@ def p3_found(spark, sf_dir):
 
 @query("p3_redacted")
 def p3_redacted(spark, sf_dir):
-    """Each chunk's text with typed placeholders."""
-    chunks = table(spark, sf_dir, "chunks")
-    return pii.redact(chunks, pii.fit(chunks, table(spark, sf_dir, "entities")), "id", "text")
+    """Each chunk's text and each entity's value with typed placeholders."""
+    return pii.redact_tables(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "entities"))
