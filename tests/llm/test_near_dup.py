@@ -51,7 +51,7 @@ def test_near_copies_of_one_template(spark):
 
 
 def test_no_pair_is_lost_at_the_threshold(spark):
-    """1,500 pairs of similarity 0.600 and 0.604: 32 bands would lose about 16 of them, 80 bands 0.02."""
+    """1,500 pairs of similarity 0.600 and 0.604: 32 bands would lose about 16 of them, 72 bands 0.05."""
     rows = []
     for i in range(1500):
         n, shared = ((80, 60), (77, 58))[i % 2]

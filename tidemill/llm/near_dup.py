@@ -10,7 +10,7 @@ and two registers are equal with a probability slightly above the sets' Jaccard
    left out (a third of all rows may be copies of one text, and copies are equal at sight);
 2. the registers are cut into ``BANDS`` bands of ``ROWS``; texts that agree in a whole band share a
    bucket. At similarity 0.6 a register is equal with 0.604, so a pair shares no band with
-   (1 - 0.604 ** 4) ** 80, 1 in 100,000, with 2 in a million at 0.62 and 1 in 10 million at 0.65;
+   (1 - 0.604 ** 4) ** 72, 3 in 100,000, with 7 in a million at 0.62 and 5 in 10 million at 0.65;
 3. a bucket of up to ``BUCKET_LIMIT`` texts gives its pairs. The texts of larger buckets are joined by
    an exact prefix filter instead: a text offers its rarest runs only, as many as it must for no pair
    to be lost, a run that many texts share is split into blocks over many tasks, and a pair is given at
@@ -44,7 +44,7 @@ from tidemill.llm.components import components
 from tidemill.llm.hashing import Words, run_hashes
 from tidemill.sources.tables import cut_lineage, kept_table
 
-BANDS, ROWS = 80, 4
+BANDS, ROWS = 72, 4
 REGISTERS = BANDS * ROWS
 BASE = 1.02
 _SHIFT = math.log(32) / math.log(BASE)
@@ -80,24 +80,22 @@ def minima(runs: np.ndarray, starts: np.ndarray | None = None, registers: int =
     """
     a, b = _seeds(registers)
     starts = np.zeros(1, np.int64) if starts is None else starts
-    upper, lower = (runs >> np.uint64(32)).astype(np.uint32), runs.astype(np.uint32)
+    upper, lower = (runs >> np.uint64(32)).astype(np.uint32)[:, None], runs.astype(np.uint32)[:, None]
     low = np.full((len(starts), registers), ~np.uint32(0))
     one, two = np.empty((2, _STEP, registers), np.uint32)
-    for at in range(0, len(runs), _STEP):
-        size = min(_STEP, len(runs) - at)
-        h = np.multiply(lower[at : at + size, None], a, out=one[:size])
-        h += np.multiply(upper[at : at + size, None], b, out=two[:size])
-        first = np.searchsorted(starts, at, side="right") - 1
-        last = np.searchsorted(starts, at + size, side="left")
-        cuts = np.maximum(starts[first:last] - at, 0)
-        low[first:last] = np.minimum(low[first:last], np.minimum.reduceat(h, cuts, axis=0))
+    for row, start, end in zip(low, starts.tolist(), [*starts[1:].tolist(), len(runs)]):
+        for at in range(start, end, _STEP):
+            size = min(_STEP, end - at)
+            h = np.multiply(lower[at : at + size], a, out=one[:size])
+            h += np.multiply(upper[at : at + size], b, out=two[:size])
+            np.minimum(row, np.minimum.reduce(h, axis=0), out=row)
     return low
 
 
 def registers(low: np.ndarray) -> np.ndarray:
     """SetSketch registers from minima: exponentially spaced, truncated to 16 bits."""
-    u = (low.astype(np.float64) + 0.5) / 2.0**32
-    k = np.floor(1 + _SHIFT - np.log(-np.log1p(-u)) / math.log(BASE))
+    u = np.minimum((low.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32), np.float32(1 - 2.0**-24))
+    k = np.floor(np.float32(1 + _SHIFT) - np.log(-np.log1p(-u)) * np.float32(1 / math.log(BASE)))
     return np.clip(k, 0, _TOP + 1).astype(np.uint16)
 
 
