@@ -173,7 +173,7 @@ def contained(
     met = found.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, ["register", "minimum"])
     least = F.element_at(F.array(*[F.lit(registers_of(c)) for c in range(size_class(block) + 1)]), F.col("size_class") + 1)
     return (
-        met.groupBy("id", "block", "size_class", "item", "win").agg(F.countDistinct("register").alias("met"))
+        met.groupBy("id", "block", "size_class", "item", "win").agg(F.bit_count(F.bit_or(F.pow(F.lit(2), F.col("register")).cast("int"))).alias("met"))
         .where(F.col("met") >= least).select("id", "block", "item").distinct()
     )
 
