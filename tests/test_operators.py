@@ -99,7 +99,7 @@ def test_entity_rules(spark):
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
     got = {(r.entity_type, r.entity_name, r.entity_value) for r in entities.extract(df).collect()}
     for row in [
-        ("ip", "Server IP", "10.0.0.7"), ("ip", "ip_address", "10.0.0.8"), ("email", "email", "a.b@c.org"),
+        ("ip", "Server IP", "10.0.0.7"), ("ip", "ip_address", "10.0.0.8"), ("phone", "phone", "(555) 123-4567"), ("email", "email", "a.b@c.org"),
         ("credential", "token", "abcdefghijkl"), ("business", "EIN", "12-3456789"), ("person", "Wife", "Ann Lee"),
         ("person", "Jane Doe_employee_id", "NX-1234"), ("person", "Tom Hill_allergy", "peanuts"), ("location", "state", "Texas"),
     ]:
@@ -108,6 +108,21 @@ def test_entity_rules(spark):
     assert any(t == "financial" and v == "$1,200.50/mo" for t, _, v in got)
 
 
+def test_entity_labels_look_back():
+    of = lambda t: entities.entities_of(t)
+    assert of("Server IP 10.0.0.7\n") == [("ip", "ip", "10.0.0.7")]
+    assert of("IP: 10.0.0.1 and IP 10.0.0.2\n") == [("ip", "IP", "10.0.0.1"), ("ip", "IP", "10.0.0.2")]
+    assert of("Paid $5 and $6.50") == [("financial", "Paid", "$5"), ("financial", "Paid $5 and", "$6.50")]
+    assert of("Cost\n$7/mo") == [("financial", "Cost", "$7/mo")] and of("$8") == [("financial", "amount", "$8")]
+    ages = of("Ann Lee turned, at age 44 years old; she is 45 years old")
+    assert ("person", "Ann Lee_age", "44") in ages and ("person", "Ann Lee_age", "45") in ages
+    assert ("person", "Jo Hill_employee_id", "NX-12345") in of("Jo Hill, as we heard, holds NX-12345")
+    assert ("person", "employee_id", "NX-999") in of("NX-999") and ("person", "password", "x") not in of("password: `hunter22`")
+    assert ("credential", "password", "hunter22") in of("password: `hunter22`")
+    assert entities.entities_of("see http://a.b/c, http://d.e", skip_urls=("a.b",)) == [("url", "url", "http://d.e")]
+    assert of("") == [] and len(of("plain. " * 30_000)) == 0
+
+
 def test_query_understanding(spark):
     assert one(spark, understand.intents, "How old is the server?") == ["age", "config"]
     assert one(spark, understand.temporal_mode, "what changed on March 5") == "specific_date"

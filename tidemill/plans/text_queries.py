@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import content_hash, path_date, tier
@@ -140,24 +142,52 @@ def message_pack(spark, sf_dir):
     return transcripts.pack(transcripts.kept_messages(lines))
 
 
-_SIMPLE = {
-    "email": ("email", "email", entities.EMAIL, 1), "url": ("url", "url", entities.URL, 1), "password": ("credential", "password", entities.PASSWORD, 1),
-    "token": ("credential", "token", entities.TOKEN, 1), "ein": ("business", "EIN", entities.EIN, 1), "ssn": ("pii", "SSN", entities.SSN, 1),
-    "date": ("date", "date", entities.DATE, 1), "product": ("business", "insurance_product", entities.PRODUCT, 1),
-}
+def _case(pairs, other):
+    return "CASE " + " ".join(f"WHEN {when} THEN '{then}'" for then, when in pairs) + f" ELSE '{other}' END"
+
+
+def _rule_sql():
+    """rule -> (pattern, type, name, value, condition) as SQL on the groups g0, g1 and g2 of a match, not yet trimmed."""
+    e = entities
+    fixed = {
+        "email": (e.EMAIL, "email", "email"), "url": (e.URL, "url", "url"), "password": (e.PASSWORD, "credential", "password"),
+        "token": (e.TOKEN, "credential", "token"), "ein": (e.EIN, "business", "EIN"), "ssn": (e.SSN, "pii", "SSN"), "address": (e.ADDRESS, "location", "address"),
+        "date": (e.DATE, "date", "date"), "product": (e.PRODUCT, "business", "insurance_product"), "phone": (e.PHONE, "phone", "phone"),
+        "state": (rf"(?i)\b({e.STATES})\b", "location", "state"), "ip_bare": (e.IP_BARE, "ip", "ip_address"),
+    }
+    found = {n: (p, f"'{kind}'", f"'{name}'", "g1", "true") for n, (p, kind, name) in fixed.items()}
+    found["url"] = (*found["url"][:3], "regexp_replace(g1, '[.,;)]+$', '')", "true")
+    found["phone"] = (*found["phone"][:4], "length(regexp_replace(g1, '\\D', '', 'g')) = 10")
+    found["ip_bare"] = (*found["ip_bare"][:4], "len(list_filter(string_split(g1, '.'), lambda o: o::INT > 255)) = 0")
+    kinds = _case([(k, "(" + " OR ".join(f"contains(lower(trim(g1)), '{w}')" for w in ws) + ")") for k, ws in e.KEY_TYPES], "fact")
+    found["key_value"] = (e.KEY_VALUE, kinds, "g1", "g2", "length(trim(g1)) < 50 AND length(trim(g2)) < 200")
+    kin = _case([(k, f"contains(lower(g0), '{k}')") for k in e.KIN], "family")
+    found |= {f"kinship_{i}": (p, "'person'", kin, "g1", "true") for i, p in enumerate(e.KINSHIP)}
+    found["role"] = (e.ROLE, "'person'", "trim(g1) || '_role'", "g2", "length(trim(g1)) < 40 AND length(trim(g2)) < 60")
+    found |= {f"person_{i}": (p, "'person'", "'person_name'", "g1", "length(trim(g1)) BETWEEN 4 AND 49") for i, p in enumerate(e.PERSON)}
+    found["employee_near"] = (e.EMPLOYEE_NEAR, "'person'", "trim(g1) || '_employee_id'", "g2", "true")
+    found |= {f"fact_{i}": (p, "'person'", f"trim(g1) || '_{kind}'", "g2", "length(trim(g1)) > 3 AND length(trim(g2)) > 1") for i, (p, kind) in enumerate(e.FACTS)}
+    names = ", ".join(f"'{n}'" for n in e.NO_NAMES)
+    found["structured"] = (e.STRUCTURED, "'person'", "'person_name'", "g1", f"length(trim(g1)) > 4 AND trim(g1) NOT IN ({names})")
+    return found
 
 
 def _entity_sql(names):
     parts = []
     for i, n in enumerate(names):
-        kind, name, pattern, group = _SIMPLE[n]
-        value = "regexp_replace(v, '[.,;)]+$', '')" if n == "url" else "v"
+        pattern, kind, name, value, keep = _rule_sql()[n]
+        # words need not be taken whole in an engine without backtracking
+        plain = pattern.replace("(?<![A-Za-z])", "").replace("++", "+").replace("'", "''")
+        two = f"regexp_extract_all(text, '{plain}', 2)" if re.compile(pattern).groups > 1 else "[]"
         parts.append(
-            f"SELECT id, {i} AS rule, '{kind}' AS entity_type, '{name}' AS entity_name, trim({value}) AS entity_value, pos FROM ("
-            f"SELECT id, unnest(m) AS v, generate_subscripts(m, 1) AS pos FROM (SELECT id, regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}', {group}) AS m FROM chunks))"
+            f"SELECT id, {i} AS rule, {kind} AS entity_type, {name} AS entity_name, {value} AS entity_value, pos FROM ("
+            f"SELECT id, unnest(a) AS g0, unnest(b) AS g1, unnest(c)::VARCHAR AS g2, generate_subscripts(a, 1) AS pos FROM ("
+            f"SELECT id, regexp_extract_all(text, '{plain}', 0) AS a, regexp_extract_all(text, '{plain}', 1) AS b, {two} AS c FROM chunks)) WHERE {keep}"
         )
+    blanks = "'^\\s+|\\s+$', '', 'g'"
     return (
-        "WITH e AS (" + " UNION ALL ".join(parts) + ") SELECT id, entity_type, entity_name, entity_value FROM e "
+        "WITH e AS (" + " UNION ALL ".join(parts) + f") SELECT id, entity_type, regexp_replace(entity_name, {blanks}) AS entity_name, "
+        f"regexp_replace(entity_value, {blanks}) AS entity_value FROM e "
         "QUALIFY row_number() OVER (PARTITION BY id, entity_type, lower(entity_name), left(lower(entity_value), 50) ORDER BY rule, pos) = 1"
     )
 
@@ -172,6 +202,11 @@ _entity_query("entities_contact", ("email", "url"))
 _entity_query("entities_credential", ("password", "token"))
 _entity_query("entities_business", ("ein", "ssn", "product"))
 _entity_query("entities_date", ("date",))
+_entity_query("entities_places", ("ip_bare", "phone", "address", "state"))
+_entity_query("entities_key_value", ("key_value",))
+_entity_query("entities_kinship", ("kinship_0", "kinship_1", "kinship_2"))
+_entity_query("entities_people", (*(f"person_{i}" for i in range(len(entities.PERSON))), "structured"))
+_entity_query("entities_facts", ("role", "employee_near", *(f"fact_{i}" for i in range(len(entities.FACTS)))))
 
 
 @query("entities_all")
