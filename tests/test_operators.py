@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -43,15 +45,48 @@ def test_sections_and_greedy_split(spark):
     got = [r.asDict() for r in chunking.chunk_files(rows, max_chars=120).orderBy("line_start").collect()]
     assert [r["heading"] for r in got] == [None, "One", "One", "Two"]  # a cut at the first blank line past 120
     assert got[0]["text"] == "[x] intro" and got[-1]["text"] == "[x > Two] ## Two\nshort"
-    assert got[1]["line_start"] == 2 and got[2]["has_overlap"] and got[2]["text"].startswith("[x > One] " + chunking.OVERLAP_MARK)
+    assert got[1]["line_start"] == 2 and got[2]["has_overlap"] and got[2]["text"].startswith("[x > One] [Section: One]\n" + chunking.OVERLAP_MARK)
     assert all(r["chars"] == len(r["text"]) for r in got)
 
 
+def _greedy(lines, start, limit):
+    out, held, size, begin = [], [], 0, start
+    for i, x in enumerate(lines):
+        if not x.strip() and size + len(x) + 1 > limit and held:
+            out.append((begin, start + i - 1, held))
+            held, size, begin = [], 0, start + i + 1
+        else:
+            held = [*held, x]
+            size += len(x) + 1
+    return out + ([(begin, start + len(lines) - 1, held)] if held else [])
+
+
+def test_sections_and_pieces_equal_brute_force(spark):
+    rng = random.Random(9)
+    some = ["# A b", "## C", "", "  ", "word " * 9, "x", "#no heading", "Ends here. Goes on"]
+    texts = ["\n".join(rng.choice(some) for _ in range(rng.randrange(1, 60))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = df.select("id", F.explode(chunking.heading_sections(F.col("text"))).alias("s")).select("id", "s.*")
+    rows = rows.withColumn("p", chunking.large_split(F.col("body"), F.col("start"), F.lit(90))).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.id, []).append((r.heading, r.start, list(r.body)))
+        assert [(p.start, p.stop, list(p.body)) for p in r.p] == _greedy(list(r.body), r.start, 90)
+    for i, t in enumerate(texts):
+        want = []
+        for at, x in enumerate(t.split("\n"), 1):
+            m = re.match(r"#{1,6}\s+(.+)", x)
+            if m or not want:
+                want.append((m and m[1], at, []))
+            want[-1][2].append(x)
+        assert got[i] == want
+
+
 def test_section_without_blank_line_is_never_cut(spark):
     text = "# H\n" + "\n".join("word " * 20 for _ in range(30))
     rows = spark.createDataFrame([("a/2024-02-30-x.md", text)], "file_path string, text string")
     got = chunking.chunk_files(rows).collect()
-    assert len(got) == 1 and got[0].text.startswith("Date: 2024-02-30 (2024-02-30)\n[2024-02-30-x > H]")
+    assert len(got) == 1 and got[0].text.startswith("Date: 2024-02-30\n[2024-02-30-x > H]")
 
 
 def test_chunk_types(spark):
@@ -87,7 +122,52 @@ def test_envelope_and_heartbeat(spark):
     got = {r.line_num: r for r in transcripts.kept_messages(df).collect()}
     assert set(got) == {1, 5} and got[1].sender == "Kit" and got[1].text == "what is new today"
     line = transcripts.message_line(F.col("role"), F.col("sender"), F.col("text"))
-    assert transcripts.kept_messages(df).where("line_num = 5").select(line.alias("l")).first().l == "**User:** " + "x" * 2000 + "..."
+    assert transcripts.kept_messages(df).where("line_num = 5").select(line.alias("l")).first().l == "**User:** " + "x" * 2000 + "... [truncated]"
+
+
+def test_content_is_told_by_its_json_type(spark):
+    lines = ['"[ERROR] the disk is full"', '"{not an object}"', '[{"type": "text", "text": "a"}, "b", {"type": "image"}, {"type": "text", "text": "c"}]', '{"text": "x"}', "null", "7"]
+    df = spark.createDataFrame([("a", i, '{"timestamp": 5, "message": {"role": "user", "content": %s}}' % c) for i, c in enumerate(lines)], "file_path string, line_num int, value string")
+    assert [r.text for r in transcripts.parse_lines(df).orderBy("line_num").collect()] == ["[ERROR] the disk is full", "{not an object}", "a\nc", "", "", ""]
+    odd = [("a", 1, "[1]"), ("a", 2, '{"message": "x"}'), ("a", 3, None), ("a", 4, "{}")]
+    assert transcripts.parse_lines(spark.createDataFrame(odd, "file_path string, line_num int, value string")).count() == 0
+
+
+def _pack(lines, limit):
+    """Brute force: one chunk if the block fits, else greedy bins."""
+    head = len(transcripts.block_header(0, "s0x0"))
+    if head + sum(map(len, lines)) + 2 * len(lines) - 2 <= limit:
+        return [len(lines)]
+    bins, size = [], head
+    for x in lines:
+        if bins and size + len(x) + 2 > limit:
+            bins.append(0)
+            size = head
+        bins = bins or [0]
+        bins[-1] += 1
+        size += len(x) + 2
+    return bins
+
+
+def test_packing_at_the_limit(spark):
+    """Blocks of exactly 1,200 characters and one or two more; long lines; a session over many spans of lines."""
+    head, cases = len(transcripts.block_header(0, "s0x0")), {}
+    for i, sizes in enumerate([(500, None), (500, None, 30), (400, 300, None), (None,), (900, 900), (50,) * 60, (3000, 20, 3000)]):
+        for extra in range(-1, 5):
+            known = [s for s in sizes if s]
+            rest = 1200 - head - sum(len("**User:** ") + s for s in known) - 2 * (len(sizes) - 1) - len("**User:** ") + extra
+            cases[f"s{i}x{extra + 1}"] = [s or max(1, rest) for s in sizes]
+    rows = [(s, n, n * 1000, "user", None, "y" * size) for s, sizes in cases.items() for n, size in enumerate(sizes)]
+    rows += [("hot", n, n * 60_000_000 * (40 if n == 9000 else 1) if n != 5 else None, "user", None, "z" * 300) for n in range(9500)]
+    df = spark.createDataFrame(rows, "session_id string, line_num int, us long, role string, sender string, text string").repartition(4)
+    got = {}
+    for r in transcripts.pack(df).orderBy("session_id", "block", "part").collect():
+        got.setdefault((r.session_id, r.block), []).append((r.line_end - r.line_start + 1, r.text))
+    for s, sizes in cases.items():
+        lines = ["**User:** " + "y" * min(2000, size) for size in sizes]
+        assert [n for n, _ in got[s, 0]] == _pack(["x" * (len("**User:** ") + (size if size <= 2000 else 2015)) for size in sizes], 1200), s
+        assert "\n\n".join(t.split("\n\n", 1)[1] for _, t in got[s, 0]) == "\n\n".join(lines)
+    assert {b: sum(n for n, _ in v) for (s, b), v in got.items() if s == "hot"} == {0: 9000, 1: 500}
 
 
 def test_entity_rules(spark):
@@ -99,7 +179,7 @@ def test_entity_rules(spark):
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
     got = {(r.entity_type, r.entity_name, r.entity_value) for r in entities.extract(df).collect()}
     for row in [
-        ("ip", "Server IP", "10.0.0.7"), ("ip", "ip_address", "10.0.0.8"), ("phone", "phone", "(555) 123-4567"), ("email", "email", "a.b@c.org"),
+        ("ip", "Server IP", "10.0.0.7"), ("ip", "ip_address", "10.0.0.8"), ("phone", "phone", "555) 123-4567"), ("email", "email", "a.b@c.org"),
         ("credential", "token", "abcdefghijkl"), ("business", "EIN", "12-3456789"), ("person", "Wife", "Ann Lee"),
         ("person", "Jane Doe_employee_id", "NX-1234"), ("person", "Tom Hill_allergy", "peanuts"), ("location", "state", "Texas"),
     ]:
@@ -129,7 +209,7 @@ def test_query_understanding(spark):
     assert one(spark, understand.temporal_mode, "When did it break") == "when" and one(spark, understand.temporal_mode, "hello") is None
     dates = lambda t: one(spark, lambda c: understand.date_patterns(c, 2026), t)
     assert dates("on March 5") == ["2026-03-05", "03-05"] and dates("on 2024-01-02") == ["2024-01-02"] and dates("on 3/4/2025") == ["2025-03-04", "03-04"]
-    assert dates("March 15th") == []
+    assert dates("March 15th") == [] and dates("3/4/25") == ["2025-03-04", "03-04"] and dates("March 5,2025") == ["2025-03-05", "03-05"]
     assert one(spark, understand.expansion, "my gpu and dns") == ["graphics card", "video card", "domain name", "nameserver"]
     assert one(spark, understand.has_words, "?!") is False
     assert one(spark, understand.sanitized, 'a-b "c_d"  e') == "a b c_d e"

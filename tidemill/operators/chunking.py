@@ -1,7 +1,7 @@
 """Files cut into chunks: sections by heading, large sections at blank lines, overlap, type, date, hash.
 
-Everything is columns on arrays of lines; the greedy cuts are folds with ``aggregate``, so a file
-needs no shuffle beyond the read. ``chunk_files`` takes (file_path, text) and gives one row per chunk.
+Everything is columns on arrays of lines: headings and greedy cuts are found as places first and lines
+taken by place once, so the work is linear in a file's lines and a file needs no shuffle beyond the read. ``chunk_files`` takes (file_path, text) and gives one row per chunk.
 """
 
 from __future__ import annotations
@@ -25,26 +25,22 @@ CONFIG_PATTERNS = (
 TODO_PATTERNS = (r"(?i)[-•]\s*\[[ x]\]", r"(?i)\b(?:TODO|FIXME|HACK|XXX)\b")
 OVERLAP_MARK = "[...overlap...]"
 
-_SECTION = "array<struct<heading:string,start:int,body:array<string>>>"
 _PIECE = "array<struct<start:int,stop:int,body:array<string>>>"
 
 
 def heading_sections(text: Column) -> Column:
     """The sections of a text: each heading line starts one and belongs to it; what comes before is headless."""
-    numbered = F.transform(lines(text), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("at")))
-    none = F.array().cast(_SECTION)
+    ls = lines(text)
+    places = F.transform(ls, lambda line, i: F.when(line.rlike(HEADING), i + 1))
+    heads = F.array_compact(places)
+    starts = F.when(F.get(heads, F.lit(0)) == 1, heads).otherwise(F.concat(F.array(F.lit(1)), heads))
+    return F.transform(starts, lambda at, i: _section(ls, at, F.coalesce(F.get(starts, i + 1), F.size(ls) + 1)))
 
-    def step(done, x):
-        is_heading = x["line"].rlike(HEADING)
-        heading = F.when(is_heading, F.trim(F.regexp_replace(x["line"], r"^#{1,6}\s+", "")))
-        fresh = F.array(F.struct(heading.alias("heading"), x["at"].cast("int").alias("start"), F.array(x["line"]).alias("body")))
-        last = F.element_at(done, -1)
-        longer = F.struct(last["heading"].alias("heading"), last["start"].alias("start"), F.concat(last["body"], F.array(x["line"])).alias("body"))
-        return F.when(is_heading | (F.size(done) == 0), F.concat(done, fresh)).otherwise(
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
-        )
 
-    return F.aggregate(numbered, none, step)
+def _section(ls: Column, at: Column, until: Column) -> Column:
+    first = F.element_at(ls, at)
+    heading = F.when(first.rlike(HEADING), F.trim(F.regexp_replace(first, r"^#{1,6}\s+", "")))
+    return F.struct(heading.alias("heading"), at.cast("int").alias("start"), F.slice(ls, at, until - at).alias("body"))
 
 
 def large_split(body: Column, start: Column, limit: Column) -> Column:
@@ -52,26 +48,26 @@ def large_split(body: Column, start: Column, limit: Column) -> Column:
 
     The blank line is dropped; a section without a blank line is never cut.
     """
-    numbered = F.transform(body, lambda line, i: F.struct(line.alias("line"), (start + i).cast("int").alias("at")))
-    empty = F.array().cast("array<string>")
-    first = F.struct(F.array().cast(_PIECE).alias("done"), start.cast("int").alias("from"), F.lit(0).alias("chars"), empty.alias("held"))
+    none = F.array().cast("array<int>")
+    first = F.struct(none.alias("cuts"), F.lit(0).alias("from"), F.lit(0).alias("chars"))
+    sizes = F.transform(body, lambda line, i: F.struct(F.length(line).alias("n"), (F.trim(line) == "").alias("blank"), i.alias("at")))
 
     def step(s, x):
-        size = F.length(x["line"]) + 1
-        full = (F.trim(x["line"]) == "") & (s["chars"] + size > limit) & (F.size(s["held"]) > 0)
-        piece = F.struct(s["from"].alias("start"), (x["at"] - 1).cast("int").alias("stop"), s["held"].alias("body"))
-        return F.when(
-            full,
-            F.struct(F.concat(s["done"], F.array(piece)).alias("done"), (x["at"] + 1).cast("int").alias("from"), F.lit(0).alias("chars"), empty.alias("held")),
-        ).otherwise(
-            F.struct(s["done"].alias("done"), s["from"].alias("from"), (s["chars"] + size).alias("chars"), F.concat(s["held"], F.array(x["line"])).alias("held"))
-        )
+        size = x["n"] + 1
+        full = x["blank"] & (s["chars"] + size > limit) & (x["at"] > s["from"])
+        cut = F.struct(F.concat(s["cuts"], F.array(x["at"])).alias("cuts"), (x["at"] + 1).alias("from"), F.lit(0).alias("chars"))
+        return F.when(full, cut).otherwise(F.struct(s["cuts"].alias("cuts"), s["from"].alias("from"), (s["chars"] + size).alias("chars")))
+
+    cuts = F.aggregate(sizes, first, step, lambda s: F.concat(F.array(F.lit(-1)), s["cuts"], F.array(F.size(body))))
+    pieces = F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda c, i: _piece(body, start, c + 1, F.get(cuts, i + 1)))
+    return F.filter(pieces, lambda p: F.size(p["body"]) > 0)
 
-    def finish(s):
-        rest = F.struct(s["from"].alias("start"), (s["from"] + F.size(s["held"]) - 1).cast("int").alias("stop"), s["held"].alias("body"))
-        return F.when(F.size(s["held"]) > 0, F.concat(s["done"], F.array(rest))).otherwise(s["done"])
 
-    return F.aggregate(numbered, first, step, finish)
+def _piece(body: Column, start: Column, begin: Column, end: Column) -> Column:
+    """The lines [begin, end) of a section, counted from 0."""
+    return F.struct(
+        (start + begin).cast("int").alias("start"), (start + end - 1).cast("int").alias("stop"), F.slice(body, begin + 1, end - begin).alias("body")
+    )
 
 
 def sentences(text: Column) -> Column:
@@ -99,9 +95,10 @@ def chunk_type(text: Column) -> Column:
 
 
 def date_prefix(date: Column) -> Column:
-    """``Date: Weekday, Month dd, yyyy (iso)``; an impossible date keeps its raw form."""
+    """``Date: Weekday, Month dd, yyyy (iso)``; of an impossible date its raw form alone."""
     day = date.try_cast("date")
-    return F.concat(F.lit("Date: "), F.coalesce(F.date_format(day, "EEEE, MMMM dd, yyyy"), date), F.lit(" ("), date, F.lit(")"))
+    known = F.concat(F.date_format(day, "EEEE, MMMM dd, yyyy"), F.lit(" ("), date, F.lit(")"))
+    return F.concat(F.lit("Date: "), F.coalesce(known, date))
 
 
 def chunk_files(files: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -139,8 +136,10 @@ def chunk_files(files: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     said = sentences(before)
     tail = F.when(before.isNotNull(), F.array_join(F.slice(said, F.greatest(F.size(said) - OVERLAP_SENTENCES + 1, F.lit(1)), OVERLAP_SENTENCES), " "))
     overlap = F.when(tail.isNotNull(), F.concat(F.lit(OVERLAP_MARK + " "), tail, F.lit("\n"))).otherwise("")
-    again = F.when((F.col("idx") > 0) & F.col("heading").isNotNull(), F.concat(F.lit("["), "heading", F.lit("] "))).otherwise("")
-    text = F.concat("label", overlap, again, F.col("p.raw"))
+    # from the second piece on a headed section says its name twice, before the overlap
+    again = F.concat(F.lit("["), "stem", F.lit(" > "), "heading", F.lit("] [Section: "), "heading", F.lit("]\n"))
+    lead = F.when((F.col("idx") > 0) & (F.coalesce("heading", F.lit("")) != ""), again).otherwise(F.col("label"))
+    text = F.concat(lead, overlap, F.col("p.raw"))
     date = path_date(F.col("file_path"))
     made = rows.where(F.col("p.raw") != "").select(
         "file_path", "section", "idx", F.col("p.start").alias("line_start"), F.col("p.stop").alias("line_end"), text.alias("body_text"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.understand import INTENTS, any_match
 
+# The half life, the caps, and the weights of the terms below.
 HALF_LIFE_DAYS, KEYWORD_CAP, INTENT_CAP = 30, 0.4, 0.35
 
 

@@ -69,8 +69,11 @@ SYNONYMS: dict[str, tuple[str, ...]] = {
     "boat": ("boat", "jet boat", "boating", "watercraft"),
     "football": ("football", "nfl", "sports"),
 }
+# Words that hint at a type of chunk; months by their first letters.
 CONFIG_WORDS = ("ip", "password", "token", "ssh", "login", "credential")
 FACT_WORDS = ("birthday", "name", "address", "phone", "email", "who is")
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MONTH_NAMES = f"{_FULL}|{_ABBR}"
 
 
 def any_match(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -113,14 +116,14 @@ def temporal_mode(query: Column) -> Column:
 def date_patterns(query: Column, default_year: int | Column) -> Column:
     """The dates a query names, as ``YYYY-MM-DD`` and, if not written so, also ``MM-DD``."""
     year = default_year if isinstance(default_year, Column) else F.lit(str(default_year))
-    month = F.regexp_extract(query, rf"(?i)\b({_FULL}|{_ABBR})\s+(\d{{1,2}})(?:,?\s+(\d{{4}}))?\b", 1)
-    day = F.regexp_extract(query, rf"(?i)\b({_FULL}|{_ABBR})\s+(\d{{1,2}})(?:,?\s+(\d{{4}}))?\b", 2)
-    named_year = F.regexp_extract(query, rf"(?i)\b({_FULL}|{_ABBR})\s+(\d{{1,2}})(?:,?\s+(\d{{4}}))?\b", 3)
-    number = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(month, 1, 3))) + 2) / 3
-    md1 = F.concat_ws("-", F.lpad(number.cast("int").cast("string"), 2, "0"), F.lpad(day, 2, "0"))
+    named = rf"(?i)\b({MONTH_NAMES})\s+(\d{{1,2}})(?:[,\s]+(\d{{4}}))?\b"
+    month, day, named_year = (F.regexp_extract(query, named, i) for i in (1, 2, 3))
+    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(month, 1, 3)))
+    md1 = F.concat_ws("-", F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
     iso = F.regexp_extract(query, r"\b(\d{4}-\d{2}-\d{2})\b", 1)
-    slash = r"\b(\d{1,2})/(\d{1,2})(?:/(\d{4}))?\b"
+    slash = r"\b(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?\b"
     m2, d2, y2 = (F.regexp_extract(query, slash, i) for i in (1, 2, 3))
+    y2 = F.when(F.length(y2) == 2, F.concat(F.lit("20"), y2)).otherwise(y2)
     md2 = F.concat_ws("-", F.lpad(m2, 2, "0"), F.lpad(d2, 2, "0"))
     full = lambda y, md: F.concat_ws("-", F.coalesce(F.nullif(y, F.lit("")), year), md)
     return F.array_distinct(F.array_compact(F.array(

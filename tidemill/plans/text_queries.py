@@ -98,7 +98,7 @@ def content_hash_query(spark, sf_dir):
 @query(
     "date_context",
     r"""WITH d AS (SELECT id, nullif(regexp_extract(file_path, '(\d{4}-\d{2}-\d{2})', 1), '') AS d FROM chunks)
-SELECT id, d AS file_date, 'Date: ' || coalesce(strftime(try_cast(d AS DATE), '%A, %B %d, %Y'), d) || ' (' || d || ')' AS prefix
+SELECT id, d AS file_date, 'Date: ' || coalesce(strftime(try_cast(d AS DATE), '%A, %B %d, %Y') || ' (' || d || ')', d) AS prefix
 FROM d WHERE d IS NOT NULL""",
 )
 def date_context(spark, sf_dir):
@@ -127,7 +127,7 @@ def message_filter(spark, sf_dir):
 @query(
     "message_lines",
     _KEPT + """SELECT session_id, line_num, '**' || coalesce(nullif(sender, ''), upper(role[1]) || role[2:]) || ':** ' ||
-  CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text END AS line
+  CASE WHEN length(text) > 2000 THEN left(text, 2000) || '... [truncated]' ELSE text END AS line
 FROM kept WHERE role <> 'user' OR length(text) >= 5""",
 )
 def message_lines(spark, sf_dir):
@@ -135,6 +135,24 @@ def message_lines(spark, sf_dir):
     return rows.select("session_id", "line_num", transcripts.message_line(F.col("role"), F.col("sender"), F.col("text")).alias("line"))
 
 
+@query(
+    "json_lines",
+    """SELECT file_path, line_num, CASE WHEN line_num % 3 = 0 AND text IS NOT NULL THEN text || chr(10) || 'END' WHEN line_num % 3 = 1 THEN coalesce(text, '')
+  ELSE '' END AS text FROM (SELECT DISTINCT file_path, line_num, text FROM messages)""",
+)
+def json_lines(spark, sf_dir):
+    """Transcript lines written as JSON and parsed again: texts as strings, as lists of items, as objects."""
+    rows = table(spark, sf_dir, "messages").select("file_path", "line_num", "text").distinct()
+    item = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    string = F.to_json(F.struct(F.struct(F.coalesce("text", F.lit("")).alias("content")).alias("message")))
+    items = F.array(item("text", F.col("text")), item("image", F.lit("no")), item("text", F.lit("END")))
+    listed = F.to_json(F.struct(F.struct(F.when(F.col("text").isNotNull(), items).alias("content")).alias("message")))
+    other = F.to_json(F.struct(F.struct(F.struct("text").alias("content")).alias("message")))
+    kind = F.col("line_num") % 3
+    value = F.when(kind == 0, listed).when(kind == 1, string).otherwise(other)
+    return transcripts.parse_lines(rows.select("file_path", "line_num", value.alias("value"))).select("file_path", "line_num", "text")
+
+
 @query("message_pack")
 def message_pack(spark, sf_dir):
     """Conversation chunks of all transcripts."""
@@ -142,6 +160,24 @@ def message_pack(spark, sf_dir):
     return transcripts.pack(transcripts.kept_messages(lines))
 
 
+@query(
+    "message_bins",
+    _KEPT.replace("FROM messages)", "FROM (SELECT DISTINCT ON (file_path, line_num) * FROM messages ORDER BY file_path, line_num))")
+    + """SELECT session_id, count(*) AS n_lines, min(line_num) AS first_line, max(line_num) AS last_line,
+  sum(length('**' || coalesce(nullif(sender, ''), upper(role[1]) || role[2:]) || ':** ' || left(text, 2000)))::BIGINT AS chars
+FROM kept WHERE role <> 'user' OR length(text) >= 5 GROUP BY session_id""",
+)
+def message_bins(spark, sf_dir):
+    """What the conversation chunks of each session hold: no line is lost or told twice."""
+    rows = message_pack(spark, sf_dir)
+    body = F.when(F.col("text").startswith("Date: "), F.regexp_replace("text", r"^Date: [^\n]*\nSession: [^\n]*\n\n", "")).otherwise(F.col("text"))
+    said = F.regexp_count(body, F.lit(r"(?:^|\n\n)\*\*[^*\n]+:\*\* ")).cast("bigint")
+    return rows.groupBy("session_id").agg(
+        F.sum(said).alias("n_lines"), F.min("line_start").alias("first_line"), F.max("line_end").alias("last_line"),
+        F.sum(F.length(body) - 2 * (said - 1)).alias("chars"),
+    )
+
+
 def _case(pairs, other):
     return "CASE " + " ".join(f"WHEN {when} THEN '{then}'" for then, when in pairs) + f" ELSE '{other}' END"
 
@@ -251,10 +287,22 @@ def temporal_mode(spark, sf_dir):
     return table(spark, sf_dir, "messages").where("text is not null").select("file_path", "line_num", understand.temporal_mode(F.col("text")).alias("mode"))
 
 
-@query("query_dates")
+def _dates_sql():
+    named = f"regexp_extract(text, '(?i)\\b({understand.MONTH_NAMES})\\s+(\\d{{1,2}})(?:[,\\s]+(\\d{{4}}))?\\b', ['m', 'd', 'y'])"
+    slash = "regexp_extract(text, '\\b(\\d{1,2})/(\\d{1,2})(?:/(\\d{2,4}))?\\b', ['m', 'd', 'y'])"
+    month = "lpad(list_position([%s], lower(left(a.m, 3)))::VARCHAR, 2, '0')" % ", ".join(f"'{m}'" for m in understand.MONTHS)
+    return f"""WITH t AS (SELECT file_path, line_num, {named} AS a, regexp_extract(text, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1) AS iso, {slash} AS s
+  FROM (SELECT DISTINCT file_path, line_num, text FROM messages) WHERE text IS NOT NULL),
+p AS (SELECT *, CASE WHEN a.m <> '' THEN {month} || '-' || lpad(a.d, 2, '0') END AS md1, CASE WHEN s.m <> '' THEN lpad(s.m, 2, '0') || '-' || lpad(s.d, 2, '0') END AS md2,
+  coalesce(nullif(a.y, ''), '2026') AS y1, CASE WHEN s.y = '' THEN '2026' WHEN length(s.y) = 2 THEN '20' || s.y ELSE s.y END AS y2 FROM t)
+SELECT file_path, line_num, unnest(list_distinct(list_filter([y1 || '-' || md1, md1, nullif(iso, ''), y2 || '-' || md2, md2], lambda x: x IS NOT NULL))) AS date FROM p"""
+
+
+@query("query_dates", _dates_sql())
 def query_dates(spark, sf_dir):
     """The dates that messages name."""
-    rows = table(spark, sf_dir, "messages").where("text is not null").select("file_path", "line_num", understand.date_patterns(F.col("text"), 2026).alias("d"))
+    said = table(spark, sf_dir, "messages").select("file_path", "line_num", "text").distinct().where("text is not null")
+    rows = said.select("file_path", "line_num", understand.date_patterns(F.col("text"), 2026).alias("d"))
     return rows.select("file_path", "line_num", F.explode("d").alias("date"))
 
 

@@ -17,13 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for reliable checkpoints: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where the setting is absent (tests on one machine) is a fresh folder taken.
+    Only where the setting is absent on one machine (tests) is a fresh folder taken; a cluster must name one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(folder)
     return folder
@@ -42,10 +44,15 @@ def kept_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: tables up to this size may be spread over the cores
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if its files are too few to keep them busy with work on single rows.
+    """``df`` over all cores, if it is small and its files are too few to keep them busy with work on single rows.
 
-    Tables of many files stay where they are read: nothing is shuffled.
+    By Spark's own estimate of its size; beyond ``SPREAD_BYTES`` every row stays where it is read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
