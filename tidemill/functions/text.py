@@ -25,8 +25,9 @@ _MARKED, _BARE = _folding()
 
 
 def unaccent(text: Column) -> Column:
-    """Letters without their diacritics, composed or combining."""
-    return F.translate(F.regexp_replace(text, r"\p{Mn}", ""), _MARKED, _BARE)
+    """Letters without their diacritics, composed or combining; texts in ASCII are only looked at."""
+    bare = F.translate(F.regexp_replace(text, r"\p{Mn}", ""), _MARKED, _BARE)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), bare).otherwise(text)
 
 
 def tokens(text: Column, fold: bool = True) -> Column:

@@ -20,12 +20,26 @@ from tidemill.operators.scoring import blended
 DIM = 384
 
 
+class _Hashes(dict):
+    """The 8-byte hashes of words, each computed when first asked for."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= 500_000:
+            self.clear()
+        got = self[word] = xxhash.xxh64_digest(word)
+        return got
+
+
+_HASHES = _Hashes()
+
+
 def hashed_embedding(words: list[str], dim: int = DIM) -> np.ndarray:
     """Signed feature hashing of words and pairs of words, to unit length; all zero without a word."""
-    v = np.zeros(dim, np.float32)
-    for w in [*words, *(a + " " + b for a, b in zip(words, words[1:]))]:
-        h = xxhash.xxh64_intdigest(w)
-        v[(h >> 1) % dim] += 1.0 if h & 1 else -1.0
+    one = np.frombuffer(b"".join(map(_HASHES.__getitem__, words)), np.uint64)
+    two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ one[1:]
+    two = two ^ (two >> np.uint64(29))
+    h = np.r_[one, two]
+    v = np.bincount(((h >> np.uint64(1)) % np.uint64(dim)).astype(np.int64), np.where(h & np.uint64(1), 1.0, -1.0), dim).astype(np.float32)
     n = float(np.linalg.norm(v))
     return v / n if n else v
 

@@ -72,15 +72,18 @@ SYNONYMS: dict[str, tuple[str, ...]] = {
 # Words that hint at a type of chunk; months by their first letters.
 CONFIG_WORDS = ("ip", "password", "token", "ssh", "login", "credential")
 FACT_WORDS = ("birthday", "name", "address", "phone", "email", "who is")
+# Words that are no names, however they are written.
+NO_NAMES = frozenset(
+    "what who where when how why which is are was were the a an in on at to for of and or but do does did has have had be been being with about tell me "
+    "give show find search look up can you i my his her their current status update info data details latest report summary metrics please question any "
+    "food last team work person".split()
+)
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 MONTH_NAMES = f"{_FULL}|{_ABBR}"
 
 
 def any_match(text: Column, patterns: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for p in patterns:
-        found = found | text.rlike("(?i)" + p)
-    return found
+    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -141,6 +144,17 @@ def expansion(query: Column, synonyms: dict[str, tuple[str, ...]] | None = None,
     return F.slice(F.array_distinct(F.flatten(F.array(*found))), 1, most)
 
 
+def expanded(query: Column, synonyms: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The query with its synonyms behind it: what is embedded."""
+    return F.concat_ws(" ", query, F.array_join(expansion(query, synonyms), " "))
+
+
+def proper_nouns(query: Column) -> Column:
+    """The capitalised words of a query, without signs, that are no common words, in order."""
+    words = F.transform(F.split(query, r"\s+"), lambda w: F.regexp_replace(w, r"(?U)[^\w']", ""))
+    return F.filter(words, lambda w: (F.length(w) > 1) & w.rlike(r"^\p{Lu}") & ~F.lower(w).isin(*sorted(NO_NAMES)))
+
+
 def type_hint(query: Column) -> Column:
     """``config`` or ``fact`` if the query holds a word of either group (the first wins), else null."""
     q = F.lower(query)

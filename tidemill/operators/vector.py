@@ -27,8 +27,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
-def _unit(vectors: list) -> np.ndarray:
-    m = np.array(vectors, np.float64)
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows, without a detour over Python's lists."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _unit(vectors: list | np.ndarray) -> np.ndarray:
+    m = np.asarray(vectors, np.float64)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
@@ -53,7 +58,7 @@ def exact_neighbours(
     null id or vector are left out.
     """
     q = queries.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(
-        F.col(id_col).alias("query_id"), F.col(vector).alias("v")
+        F.col(id_col).cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("v")
     )
     n_blocks = max(1, -(-q.count() // QUERY_BLOCK))
     blocks = (
@@ -61,26 +66,34 @@ def exact_neighbours(
         .groupBy("block").agg(F.collect_list(F.struct("query_id", "v")).alias("qs"))
     )
     parts = rows.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(vector).alias("v"), (F.col(group) if group else F.lit("")).cast("string").alias("g")
+        F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(group) if group else F.lit("")).cast("string").alias("g")
     )
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for g, part in pdf.groupby("g", dropna=False):
-                yield pd.DataFrame({"g": [g], "ids": [part["id"].to_numpy()], "vs": [np.concatenate(part["v"].to_list())]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, m, names = batch.column(0).to_numpy(), _matrix(batch.column(1)), np.array(batch.column(2).to_pylist(), object)
+            for g in sorted({x for x in names if x is not None}) + ([None] if None in names else []):
+                at = np.flatnonzero(names == g)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g], pa.string()), pa.ListArray.from_arrays([0, len(at)], ids[at]), pa.ListArray.from_arrays([0, m[at].size], m[at].ravel())],
+                    names=["g", "ids", "vs"],
+                )
 
-    packed = parts.mapInPandas(pack, "g string, ids array<bigint>, vs array<double>")
+    packed = parts.mapInArrow(pack, "g string, ids array<bigint>, vs array<double>")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, ids, vs, qs in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                ids = np.array(ids)
-                m = _unit(np.array(vs).reshape(len(ids), -1))
-                sims = np.maximum(_unit([x["v"] for x in qs]) @ m.T, 0.0)
-                out = [(x["query_id"], ids[j], s[j]) for x, s in zip(qs, sims) for j in _best(ids, s, k)]
-                a, b, c = zip(*out) if out else ([], [], [])
+            for r in range(len(batch)):
+                g, ids, vs, qs = (batch.column(i)[r] for i in range(4))
+                ids, asked = ids.values.to_numpy(), qs.values.field(0).to_numpy()
+                m = _unit(vs.values.to_numpy().reshape(len(ids), -1))
+                sims = np.maximum(_unit(_matrix(qs.values.field(1))) @ m.T, 0.0)
+                best = [_best(ids, s, k) for s in sims]
+                a, at = np.repeat(asked, [len(x) for x in best]), np.concatenate(best)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([g] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())],
+                    [pa.array([g.as_py()] * len(a), pa.string()), pa.array(a), pa.array(ids[at]), pa.array(np.concatenate([s[x] for s, x in zip(sims, best)]))],
                     names=["g", "query_id", "id", "score"],
                 )
 

@@ -14,11 +14,11 @@ from tidemill.operators import scoring
 from tidemill.operators.bm25 import keyword_scores, top_k
 from tidemill.operators.models import overlap_logit, rerank
 from tidemill.operators.store import first_by_hash, neighbours
-from tidemill.operators.understand import date_patterns, has_words, intents, temporal_mode, type_hint
+from tidemill.operators.understand import date_patterns, has_words, intents, proper_nouns, temporal_mode, type_hint
 from tidemill.operators.vector import two_tier
-from tidemill.sources.tables import cut_lineage
+from tidemill.sources.tables import kept_table
 
-CANDIDATES, TEMPORAL_FACTOR, ENTITY_LIMIT, INJECTED = 5, 3, 5, 0.5
+CANDIDATES, TEMPORAL_FACTOR, ENTITY_LIMIT, SINGLE_LIMIT, INJECTED = 5, 3, 5, 3, 0.5
 ADJACENT_TOP, ADJACENT_FLOOR, ADJACENT_SHARE = 3, 0.3, 0.5
 
 
@@ -30,11 +30,42 @@ def understood(queries: DataFrame, default_year: int) -> DataFrame:
     )
 
 
-def entity_hits(entities: DataFrame, queries: DataFrame, limit: int = ENTITY_LIMIT) -> DataFrame:
-    """(query_id, chunk_id): chunks of the best entities whose name and value hold all words of a query."""
-    both = entities.select(F.col("id"), F.concat_ws(" ", "entity_name", "entity_value").alias("text"))
-    best = top_k(keyword_scores(both, queries), limit, "id")
-    return best.join(entities.select("id", "chunk_id"), "id").select("query_id", "chunk_id").distinct()
+def entity_probes(queries: DataFrame) -> DataFrame:
+    """(query_id, stage, part, probe, width): what the entities are asked: the query, pairs of its names, single names."""
+    names = proper_nouns(F.col("query"))
+    pairs = F.transform(F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(0))), lambda n, i: F.concat_ws(" ", n, F.get(names, i + 1)))
+    stage = lambda n, texts, width: F.transform(
+        texts, lambda t, i: F.struct(F.lit(n).alias("stage"), i.alias("part"), t.alias("probe"), F.lit(width).alias("width"))
+    )
+    cleaned = F.trim(F.regexp_replace("query", r"(?U)[^\w\s]", ""))
+    all_ = F.concat(stage(1, F.array(cleaned), ENTITY_LIMIT), stage(2, pairs, ENTITY_LIMIT), stage(3, names, SINGLE_LIMIT))
+    return queries.select("query_id", F.explode(all_).alias("p")).select("query_id", "p.*")
+
+
+def entity_hits(entities: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): chunks of the best entities whose name and value hold all words of a probe.
+
+    The probes of all stages are ranked in one pass; of each query the first stage with a hit counts. Of a
+    pair's hits those count in which both names stand as written, or else the first three.
+    """
+    both = entities.select("id", "chunk_id", F.concat_ws(" ", "entity_name", "entity_value").alias("text"))
+    probes = entity_probes(queries).withColumn("pid", F.xxhash64("query_id", "stage", "part"))
+    ranked = top_k(keyword_scores(both, probes.select("pid", "probe"), query_id="pid", query="probe").withColumnRenamed("query_id", "pid"), ENTITY_LIMIT, "id", of="pid")
+    said = ranked.join(probes, "pid").where(F.col("rank") <= F.col("width")).join(both, "id")
+    as_written = F.forall(F.split(F.lower("probe"), " "), lambda w: F.contains(F.lower("text"), w))
+    of_pair = Window.partitionBy("pid")
+    said = said.withColumn("named", as_written).withColumn("some", F.max("named").over(of_pair))
+    kept = said.where((F.col("stage") != 2) | F.col("named") | (~F.col("some") & (F.col("rank") <= SINGLE_LIMIT)))
+    first = kept.withColumn("first", F.min("stage").over(Window.partitionBy("query_id"))).where(F.col("stage") == F.col("first"))
+    return first.select("query_id", "chunk_id").distinct()
+
+
+def dated_chunks(corpus: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id): chunks whose path holds a date that a query on a certain date names."""
+    wanted = asked.where("mode = 'specific_date'").select("query_id", F.explode("dates").alias("date")).distinct()
+    held = F.concat(*[F.regexp_extract_all("file_path", F.lit(f"(?=({p}))"), F.lit(1)) for p in (r"\d{4}-\d{2}-\d{2}", r"\d{2}-\d{2}")])
+    dated = corpus.where(F.col("file_path").rlike(r"\d{2}-\d{2}")).select("id", F.explode(F.array_distinct(held)).alias("date"))
+    return dated.join(wanted, "date").select("query_id", "id").distinct()
 
 
 def fused(vector_side: DataFrame, keyword_side: DataFrame) -> DataFrame:
@@ -78,11 +109,12 @@ def search(
     keyword_side = keep(top_k(keyword_scores(corpus, asked), limit, "id"))
     rows = corpus.withColumn("tier", tier(F.col("source")))
     vectors = two_tier(rows, asked.select(F.col("query_id").alias("id"), "vector"), limit)
-    hits = cut_lineage(entity_hits(entities, asked))
+    hits = kept_table(entity_hits(entities, asked))
     named = hits.withColumnRenamed("chunk_id", "id").withColumn("chunk_hit", F.lit(True))
-    # chunks of found entities that neither side brought come in at a fixed score
+    # chunks of asked dates and of found entities that the vectors did not bring come in at a fixed score
     base = keep(vectors).select("query_id", "id", "score")
-    injected = named.join(base, ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(INJECTED).alias("score"))
+    brought = dated_chunks(corpus, asked).unionByName(named.select("query_id", "id")).distinct()
+    injected = brought.join(base, ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(INJECTED).alias("score"))
     pairs = fused(base.unionByName(injected), keyword_side)
     paths = hits.join(corpus.select(F.col("id").alias("chunk_id"), "file_path"), "chunk_id").select("query_id", "file_path").distinct()
     rich = (
@@ -93,7 +125,7 @@ def search(
     )
     prefer = F.lit(prefer_type).cast("string")
     # few rows a query, read by the adjacency rule three times: computed once
-    scored = cut_lineage(rich.withColumn("score", combined_score(as_of, prefer)))
+    scored = kept_table(rich.withColumn("score", combined_score(as_of, prefer)))
     scored = scored.unionByName(_adjacent(scored, corpus), allowMissingColumns=True)
     mode = F.col("mode")
     again = F.when(mode == "recency", scoring.recency_boost(path_date(F.col("file_path")), F.col("indexed_at"), as_of)).when(

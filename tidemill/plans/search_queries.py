@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import models, scoring, store, vector
+from tidemill.operators import models, scoring, store, understand, vector
 from tidemill.operators.bm25 import corpus_stats, doc_terms, keyword_scores, postings, top_k
 from tidemill.plans import hybrid
 from tidemill.plans.registry import query
-from tidemill.sources.tables import cut_lineage, spread, table
+from tidemill.sources.tables import kept_table, spread, table
 
 AS_OF = "2026-11-01 00:00:00"
 
@@ -269,14 +269,15 @@ def _corpus(spark, sf_dir):
         "id", "file_path", "line_start", "line_end", "text", "indexed_at", F.col("metadata.type").alias("kind"),
         F.col("metadata.source").alias("source"), F.col("metadata.hash").alias("hash"),
     )
-    embedded = models.embed(spread(c.where("text is not null")), "text").withColumn("vector", F.col("vector").cast("array<double>"))
+    embedded = models.embed(spread(c.where("text is not null")), "text")
     # the index: embedded once, read by every part of the search
-    return cut_lineage(embedded)
+    return kept_table(embedded)
 
 
 def _questions(spark, sf_dir):
     items = table(spark, sf_dir, "eval_items").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "query")
-    return models.embed(items, "query").withColumn("vector", F.col("vector").cast("array<double>"))
+    said = models.embed(items.withColumn("said", understand.expanded(F.col("query"))), "said").drop("said")
+    return kept_table(said)
 
 
 @query("hybrid_search")

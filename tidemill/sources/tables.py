@@ -54,5 +54,5 @@ def spread(df: DataFrame) -> DataFrame:
     By Spark's own estimate of its size; beyond ``SPREAD_BYTES`` every row stays where it is read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
