@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.text import path_stem, tokens, unaccent
 from tidemill.operators import chunking, entities, models, store, transcripts, understand, vector
 from tidemill.operators.bm25 import keyword_scores
-from tidemill.plans import hybrid
+from tidemill.plans import hybrid, ingest
 
 
 def one(spark, column, value):
@@ -271,3 +271,50 @@ def test_hybrid_search_end_to_end(spark):
     assert got[1][0] in (1, 5) and not {1, 5} <= set(got[1]) and 2 not in got and got[3][0] == 3
     report = hybrid.format_results(found, corpus).where("query_id = 1").first().report
     assert report.startswith("**1. ") and "vault" in report
+
+
+def test_boolean_queries(spark):
+    docs = [(1, "red fox"), (2, "blue dog"), (3, "red dog"), (4, "green cat"), (5, "red dog bites"), (6, "OR")]
+    d = spark.createDataFrame(docs, "id long, text string")
+    asked = {"red OR blue": {1, 2, 3, 5}, "dog NOT bites": {2, 3}, "red dog OR cat": {3, 4, 5}, "red AND dog": {3, 5}, "red dog NOT bites OR fox": {1, 3}, "red OR": set(),
+             "NOT dog": set(), "AND red": set(), "red or fox": set(), "dog NOT red bites": {2, 3}, "ORbit": set()}
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    got = {i: set() for i in range(len(asked))}
+    for r in keyword_scores(d, q).collect():
+        got[r.query_id].add(r.id)
+    assert got == dict(enumerate(asked.values()))
+
+
+def test_entity_cascade_and_dated_chunks(spark):
+    ents = [(1, 5, "Kai Osei", "engineer"), (2, 6, "Kai", "Osei x"), (3, 7, "boss", "Kai"), (4, 8, "port", "443"), (5, 9, None, "Kai")]
+    e = spark.createDataFrame(ents, "id long, chunk_id long, entity_name string, entity_value string")
+    q = spark.createDataFrame([(1, "who is Kai Osei?"), (2, "port 443"), (3, "Tell Kai about Bob"), (4, "nothing here")], "query_id long, query string")
+    got = {}
+    for r in hybrid.entity_hits(e, q).collect():
+        got.setdefault(r.query_id, set()).add(r.chunk_id)
+    assert got == {1: {5, 6}, 2: {8}, 3: {5, 7, 9}}
+    asked = hybrid.understood(spark.createDataFrame([(1, "what happened on March 5, 2024"), (2, "notes of 2024-03-05")], "query_id long, query string"), 2026)
+    paths = [(1, "n/2024-03-05.md"), (2, "n/x03-05.md"), (3, "n/2024-03-06.md"), (4, None), (5, "n/2023-03-05-a.md")]
+    rows = spark.createDataFrame(paths, "id long, file_path string")
+    assert sorted((r.query_id, r.id) for r in hybrid.dated_chunks(rows, asked).collect()) == [(1, 1), (1, 2), (1, 5)]
+    assert one(spark, understand.expanded, "my gpu") == "my gpu graphics card video card"
+
+
+def test_ingest_follows_a_folder(spark, tmp_path):
+    src, out = tmp_path / "notes", str(tmp_path / "store")
+    src.mkdir()
+    (src / "a.md").write_text("# A\nMail a.b@c.org about port: 443 now")
+    (src / "2024-05-01.md").write_text("Plain words.\n")
+    (src / "b.txt").write_text("not asked for")
+    tables = lambda: {n: sorted(map(str, ingest.read(spark, out, n).drop("modified").collect())) for n in ingest.TABLES}
+    assert ingest.index(spark, str(src), out) == 1
+    first = tables()
+    assert len(first["files"]) == 2 and len(first["chunks"]) == 2 and len(first["vectors"]) == 2 and any("a.b@c.org" in x for x in first["entities"])
+    assert ingest.index(spark, str(src), out) == 1 and ingest.index(spark, str(src), out, force=True) == 2 and tables() == first
+    (src / "a.md").write_text("# A\nNothing to name, but a longer text than before, so its size differs")
+    assert ingest.index(spark, str(src), out) == 3
+    then = tables()
+    assert len(then["chunks"]) == 2 and not any("a.b@c.org" in x for x in then["entities"]) and set(first["chunks"]) & set(then["chunks"])
+    (src / "a.md").unlink()
+    ingest.index(spark, str(src), out)
+    assert [len(v) for v in tables().values()][:2] == [1, 1] and len(tables()["vectors"]) == 1
